@@ -250,6 +250,19 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first_of_near_copies(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+    """The rows of `docs` but those linked, over whatever documents, to one with a smaller doc_id.
+
+    Of rows repeated under one doc_id one stays; rows with a null doc_id stay.
+    """
+    found = cut(simhash_components(docs, width, radius))
+    gone = found.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
+    packed = docs.select(F.struct("*").alias("row"))
+    left = packed.join(gone, F.col("row.doc_id").cast("bigint") == F.col("gone_id"), "left_anti").select("row.*")
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > 1)
+    return left if repeated.isEmpty() else left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
 def op9_simhash_gray(spark, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
