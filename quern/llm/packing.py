@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -22,41 +23,70 @@ from quern.llm.common import cut, table
 
 CAPACITY = 4096
 GROUP_PIECES = 60_000
-CACHE_WORDS = 200_000
+CACHE_CHUNKS = 400_000
 
 
-class WordEncoder:
-    """Ids of a tokenizer that splits text into words before merging, from a cache of words.
+class ChunkEncoder:
+    """Ids of a tokenizer that never looks across white space, from a cache of the chunks between it.
 
     `word_bpe_49k.json` normalises (NFC, white space to one space, lower case), splits by its pattern and then merges
-    inside each word, so a text's ids are its words' ids in a row. Texts that hold one of its special strings go to the
-    tokenizer itself. The cache is emptied at `cache_words` words.
+    inside each piece, so a text's ids are its chunks' ids in a row. New chunks are encoded together, and the ids are told
+    apart by the tokens that end a piece. Texts with a special string, or with control characters that count as white
+    space here but not there, go to the tokenizer itself. The cache keeps the first `cache_chunks` chunks.
     """
 
-    WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    APART = regex.compile(r"<\||[\x1c-\x1f]")
+    own: dict[str, "ChunkEncoder"] = {}
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
-        self.limit = cache_words
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.WORD.findall(unicodedata.normalize("NFC", text).lower())
+        self.limit = cache_chunks
+
+    @classmethod
+    def of(cls, path: str) -> "ChunkEncoder":
+        """One for each Python worker, kept between its tasks."""
+        if path not in cls.own:
+            cls.own[path] = cls(path)
+        return cls.own[path]
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        out = {}
+        for s in range(0, len(chunks), 5000):
+            part = chunks[s : s + 5000]
+            pieces = np.array([len(self.PIECE.findall(unicodedata.normalize("NFC", c).lower())) for c in part])
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != pieces.sum() or (pieces == 0).any():
+                out.update((c, self._ids(c)) for c in part)
+                continue
+            stops = (4 * ends[np.cumsum(pieces) - 1]).tolist()
+            raw = ids.tobytes()
+            out.update((c, raw[a:b]) for c, a, b in zip(part, [0, *stops], stops))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [None if self.APART.search(t) else t.split() for t in texts]
         cache = self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > self.limit:
-                cache.clear()
-            new = list({w for w in words if w not in cache})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([cache[w] for w in words])
+        new = {c for chunks in split if chunks for c in chunks if c not in cache}
+        if new:
+            found = self._new(list(new))
+            if len(cache) + len(found) <= self.limit:
+                cache.update(found)
+            else:
+                cache.update(islice(found.items(), max(0, self.limit - len(cache))))
+                cache = {c: found[c] if c in found else cache[c] for c in {c for chunks in split if chunks for c in chunks}}
+        return [self._ids(t) if chunks is None else b"".join([cache[c] for c in chunks]) for t, chunks in zip(texts, split)]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -66,16 +96,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = ChunkEncoder.of(tokenizer_path)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    for column, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part) & 0xFFFFFFFF)):
-                        column.append(value)
+            for s in range(0, b.num_rows, 1000):
+                some = b.slice(s, 1000)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()])):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), width)):
+                        part = ids[at : at + width]
+                        for column, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part) & 0xFFFFFFFF)):
+                            column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
