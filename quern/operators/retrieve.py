@@ -107,7 +107,8 @@ def bm25_topk(queries: DataFrame, documents: DataFrame, k: int = K, k1: float =
     places = short.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.coalesce("m", F.lit(0)) + k, F.lit(n)) - 1)).alias("place"))
     placed = dense_ordinal(docs.select("ord"), "ord", name="place")
     zeros = places.join(placed, "place").select("query_id", "ord").join(scored, ["query_id", "ord"], "left_anti").withColumn("score", F.lit(0.0))
-    best = top_k(scored.unionByName(zeros), "query_id", k, F.desc("score"), F.col("ord").asc())
+    # A sum's last digits depend on the order of its parts: equal scores are those equal to nine places.
+    best = top_k(scored.unionByName(zeros), "query_id", k, F.round("score", 9).desc(), F.col("ord").asc())
     return best.join(docs.select("ord", F.col("id").alias("document_id")), "ord").select("query_id", "rank", "document_id", "score")
 
 
