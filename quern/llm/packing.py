@@ -23,7 +23,16 @@ from quern.llm.common import cut, table
 
 CAPACITY = 4096
 GROUP_PIECES = 60_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
+
+
+class ChunkCache(dict):
+    """A dictionary; what it lacks is looked up in `more`."""
+
+    more: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.more[chunk]
 
 
 class ChunkEncoder:
@@ -36,7 +45,6 @@ class ChunkEncoder:
     """
 
     PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    APART = regex.compile(r"<\||[\x1c-\x1f]")
     own: dict[str, "ChunkEncoder"] = {}
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
@@ -46,7 +54,7 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.cache = ChunkCache()
         self.limit = cache_chunks
 
     @classmethod
@@ -63,8 +71,8 @@ class ChunkEncoder:
         out = {}
         for s in range(0, len(chunks), 5000):
             part = chunks[s : s + 5000]
-            pieces = np.array([len(self.PIECE.findall(unicodedata.normalize("NFC", c).lower())) for c in part])
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            pieces = np.array([1 if c.isalpha() and c.isascii() else len(self.PIECE.findall(unicodedata.normalize("NFC", c).lower())) for c in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != pieces.sum() or (pieces == 0).any():
                 out.update((c, self._ids(c)) for c in part)
@@ -76,17 +84,37 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if self.APART.search(t) else t.split() for t in texts]
+        split = [None if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]
+        new = set().union(*[chunks for chunks in split if chunks]).difference(self.cache)
+        own = self._found(new) if new else {}
         cache = self.cache
-        new = {c for chunks in split if chunks for c in chunks if c not in cache}
-        if new:
-            found = self._new(list(new))
-            if len(cache) + len(found) <= self.limit:
-                cache.update(found)
-            else:
-                cache.update(islice(found.items(), max(0, self.limit - len(cache))))
-                cache = {c: found[c] if c in found else cache[c] for c in {c for chunks in split if chunks for c in chunks}}
-        return [self._ids(t) if chunks is None else b"".join([cache[c] for c in chunks]) for t, chunks in zip(texts, split)]
+        cache.update(islice(own.items(), max(0, self.limit - len(cache))))
+        cache.more = own
+        return [self._ids(t) if chunks is None else b"".join(map(cache.__getitem__, chunks)) for t, chunks in zip(texts, split)]
+
+    def _found(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of chunks: ASCII words with one full stop or comma, or with a capital, from the plain word."""
+        cache, out, rest = self.cache, {}, []
+        tails = {t: self._ids(t) for t in ",."}
+        cores: dict[str, list[tuple[str, bytes]]] = {}
+        for c in new:
+            if c.isascii():
+                tail = tails.get(c[-1], b"")
+                core = (c[:-1] if tail else c).lower()
+                if core.isalpha():
+                    ids = cache.get(core)
+                    if ids is None:
+                        cores.setdefault(core, []).append((c, tail))
+                    else:
+                        out[c] = ids + tail
+                    continue
+            rest.append(c)
+        for core, ids in self._new(list(cores)).items():
+            out[core] = ids
+            for c, tail in cores[core]:
+                out[c] = ids + tail
+        out.update(self._new(rest))
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
