@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,8 +62,7 @@ def map_or(c: str | Column, key: str, default: float) -> Column:
 
 def map_strict(c: str | Column, key: str) -> Column:
     """Value of a map; an error where it is missing."""
-    value = F.try_element_at(col(c), F.lit(key))
-    return F.when(F.assert_true(value.isNotNull(), F.lit(f"no {key} among the scores")).isNull(), value)
+    return not_null(F.try_element_at(col(c), F.lit(key)), f"no {key} among the scores")
 
 
 def scores_map(method: str, score: str | Column, human: str | Column) -> Column:
@@ -78,8 +78,7 @@ def map_with(c: str | Column, key: str, value: str | Column) -> Column:
 
 
 def not_null(c: str | Column, message: str = "value is null") -> Column:
-    c = col(c)
-    return F.when(F.assert_true(c.isNotNull(), F.lit(message)).isNull(), c)
+    return F.coalesce(col(c), F.raise_error(F.lit(message)))
 
 
 def argsort(values: str | Column) -> Column:
@@ -130,8 +129,6 @@ def query_content(json: str | Column) -> Column:
 
 def half_floats(payload: str | Column) -> Column:
     """Vector of half-precision floats in base64, as array<float>."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(parts: pd.Series) -> pd.Series:
         import base64

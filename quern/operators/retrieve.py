@@ -102,7 +102,7 @@ def bm25_topk(queries: DataFrame, documents: DataFrame, k: int = K, k1: float =
     postings = tf.join(idf.select("term", "idf"), "term").join(lengths, "ord").select("term", "ord", (F.col("idf") * weigh).alias("weight"))
     scored = q.join(postings, "term").groupBy("query_id", "ord").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
     # The documents a query shares no word with score 0. Its first k of them lie among the first k + (shared) places.
-    shared = queries.select(F.col("id").alias("query_id")).join(scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("score") >= 0, 1)).alias("good")), "query_id", "left")
+    shared = queries.select(F.col("id").alias("query_id")).join(scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("score") > 0, 1)).alias("good")), "query_id", "left")
     short = shared.filter(F.coalesce("good", F.lit(0)) < k)
     places = short.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.coalesce("m", F.lit(0)) + k, F.lit(n)) - 1)).alias("place"))
     placed = dense_ordinal(docs.select("ord"), "ord", name="place")
