@@ -250,7 +250,7 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first_of_near_copies(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+def keep_first_of_near_copies(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """The rows of `docs` but those linked, over whatever documents, to one with a smaller doc_id.
 
     Of rows repeated under one doc_id one stays; rows with a null doc_id stay.
