@@ -114,11 +114,12 @@ class LexiconAutomaton:
         return self.found[state]
 
 
-def learn_lexicon(sample: list[tuple[str, int]], terms: int = TERMS, least_docs: int = 5, least_ratio: float = 30.0) -> dict[str, tuple[bool, int, float]]:
+def learn_lexicon(sample: list[tuple[str, int]], terms: int = TERMS, least_docs: int = 4, least_share: float = 0.02, least_ratio: float = 30.0) -> dict[str, tuple[bool, int, float]]:
     """term -> (is a stem, edits allowed, weight), from (text, label) rows.
 
     Candidates are the words of the toxic texts and their beginnings of four characters and more, by the ratio of the
-    shares of toxic and other texts that hold them. Of a chain of beginnings the longest that keeps nine tenths of the
+    shares of toxic and other texts that hold them; a term of fewer than `least_docs` toxic texts, or of less than
+    `least_share` of them, is chance. Of a chain of beginnings the longest that keeps nine tenths of the
     texts of the chain's first stands for it. A term may be misspelled if its misspellings are rare in the other texts.
     """
     n = [0, 0]
@@ -135,7 +136,8 @@ def learn_lexicon(sample: list[tuple[str, int]], terms: int = TERMS, least_docs:
     def ratio(term: str) -> float:
         return ((seen[1][term] + 0.5) / (n[1] + 1)) / ((seen[0][term] + 0.5) / (n[0] + 1))
 
-    good = {t for t, k in seen[1].items() if k >= least_docs and ratio(t) >= least_ratio}
+    least = max(least_docs, least_share * n[1])
+    good = {t for t, k in seen[1].items() if k >= least and ratio(t) >= least_ratio}
     heads = [t for t in good if not any(t[:k] in good for k in range(3, len(t)))]
     children: dict[str, list[str]] = {}
     for t in good:
