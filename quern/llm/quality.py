@@ -97,7 +97,7 @@ class BradleyTerry:
         # With the k lowest scores rejected: rejected zeros and kept ones, each as a share of its label.
         right = np.r_[0, np.cumsum(y[order] == 0)] / len(bad) + 1 - np.r_[0, np.cumsum(y[order] == 1)] / len(good)
         best = np.flatnonzero(right >= right.max() - 0.002)
-        k = int(best[len(best) // 2])
+        k = int(best[0])  # of quantiles that part the labels alike the one that rejects least
         self.border = float((s[order[max(0, k - 1)]] + s[order[min(k, len(s) - 1)]]) / 2)
         self.spread = float(s.std()) + 1e-9
         return self
