@@ -47,6 +47,33 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
+    """`df`, marked for broadcast if its `rows` (counted by the caller, small rows only) are at most `limit`."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not among those of `gone` (`gone_id`, distinct); a null one there matches null.
+
+    Up to a million ids are broadcast and no text moves; more are joined.
+    """
+    gone = cut(gone)
+    packed = docs.select(F.struct("*").alias("row"))
+    return packed.join(sized_broadcast(gone, gone.count()), F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+
+
+def prefilter(df: DataFrame, key: str, wanted: DataFrame, bits: int = 26) -> DataFrame:
+    """The rows of `df` whose bigint `key` may be among the keys of `wanted` (a column of the same name), and few others.
+
+    A bit table of 2^bits hash values is broadcast, at most 2^(bits - 6) rows of two numbers whatever the input, so that a
+    join after it moves few rows that it will not need. With more keys it lets more rows through, never fewer.
+    """
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(26)), F.lit(1 << bits))
+    words = wanted.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_mask"))
+    kept = df.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6)).join(F.broadcast(words), "_word").filter(F.expr("shiftright(_mask, cast(_p & 63 as int)) & 1 = 1"))
+    return kept.select(*df.columns)
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table
+from quern.llm.common import cut, table, without_ids
 
 NGRAM = 3
 RUN = 4
@@ -239,10 +239,8 @@ def _slice_leaks(texts: DataFrame, items: Items, score_share: float, least_words
 
 
 def clean_of_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold a benchmark item; those with a null doc_id stay only if they hold none."""
-    leaks = cut(find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaky")).distinct())
-    packed = docs.select(F.struct("*").alias("row"))
-    return packed.join(leaks, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("leaky")), "left_anti").select("row.*")
+    """`docs` without the documents that hold a benchmark item; of those with a null doc_id all stay or none."""
+    return without_ids(docs, find_leaks(docs, benchmark).select(F.col("doc_id").alias("gone_id")).distinct())
 
 
 def op7_seed_alignment(spark, sf_dir: str) -> DataFrame:

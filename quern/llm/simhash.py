@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table
+from quern.llm.common import cut, table, without_ids
 from quern.llm.components import connected_components
 
 GROUP_ROWS = 4096
@@ -256,9 +256,8 @@ def keep_first_of_near_copies(docs: DataFrame, width: int = 4, radius: int = 4)
     Of rows repeated under one doc_id one stays; rows with a null doc_id stay.
     """
     found = cut(simhash_components(docs, width, radius))
-    gone = found.filter("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    packed = docs.select(F.struct("*").alias("row"))
-    left = packed.join(gone, F.col("row.doc_id").cast("bigint") == F.col("gone_id"), "left_anti").select("row.*")
+    gone = found.filter("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    left = without_ids(docs, gone)
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > 1)
     return left if repeated.isEmpty() else left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
 
