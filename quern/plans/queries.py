@@ -465,6 +465,84 @@ def any_all(spark, sf_dir):
     return li.groupBy("l_orderkey").agg(F.max("l_quantity").alias("high"), F.bool_or(F.col("l_quantity") > 45).alias("some"), F.bool_and(F.col("l_quantity") > 5).alias("every"), F.array_sort(F.collect_set("l_returnflag")).alias("flags"))
 
 
+# More sources and scalars --------------------------------------------------------------------------------------------
+
+
+@query("WITH a AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN [o_orderpriority] ELSE [o_orderstatus || '\"', o_orderpriority || ' é'] END AS texts FROM orders), e AS (SELECT o_orderkey, unnest(texts) AS content, generate_subscripts(texts, 1) AS pos FROM a) SELECT o_orderkey::VARCHAR AS query_id, (row_number() OVER (ORDER BY o_orderkey, pos) - 1)::VARCHAR AS document_id, content FROM e")
+def evidence_source(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    items = F.to_json(F.array(F.struct(F.concat("o_orderstatus", F.lit('"')).alias("evidence_text")), F.struct(F.concat("o_orderpriority", F.lit(" é")).alias("evidence_text"))))
+    raw = o.select(F.col("o_orderkey").alias("ord"), "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(items).alias("evidence"))
+    d = shapes.list_or_scalar(raw, "o_orderpriority", "evidence")
+    return d.qrels.join(d.documents.select(F.col("id").alias("document_id"), "content"), "document_id").select("query_id", "document_id", "content")
+
+
+@query("SELECT l_orderkey::VARCHAR AS query_id, l_partkey::VARCHAR AS document_id, max_by(l_quantity, l_linenumber * 100 + l_quantity) AS score FROM lineitem GROUP BY ALL")
+def map_source(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    inner = li.select("l_orderkey", (F.col("l_linenumber") * 100 + F.col("l_quantity")).alias("l_linenumber"), F.create_map(F.col("l_partkey").cast("string"), F.col("l_quantity")).alias("m"))
+    flat = F.to_json(F.create_map(F.col("l_orderkey").cast("string"), F.col("m")))
+    deep = F.to_json(F.create_map(F.lit("default"), F.create_map(F.col("l_orderkey").cast("string"), F.col("m"))))
+    rows = inner.select(F.lit("s").alias("split"), F.col("l_linenumber").cast("bigint").alias("ord"), F.when(F.col("l_orderkey") % 2 == 0, flat).otherwise(deep).alias("data"))
+    return shapes.maps_by_split(rows, "qrels").select(F.col("key").alias("query_id"), F.col("inner").alias("document_id"), F.col("value").alias("score"))
+
+
+@query("SELECT o_custkey::VARCHAR AS id, max(o_orderkey) AS last_order, min(o_orderkey) AS first_order FROM orders GROUP BY 1")
+def first_and_last_wins(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("id"), "o_orderkey", F.col("o_orderkey").alias("ord"))
+    last = ranking.last_by(o, "id").select("id", F.col("o_orderkey").alias("last_order"))
+    return last.join(ranking.first_by(o, "id").select("id", F.col("o_orderkey").alias("first_order")), "id")
+
+
+@query("WITH m AS (SELECT o_orderkey, o_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey), q AS (SELECT conv_id, turn, unnest([conv_id * 7 + turn, 99999999]) AS key FROM conversations) SELECT (conv_id * 1000 + turn)::VARCHAR AS query_id, o_orderkey::VARCHAR AS document_id FROM q JOIN m ON key = o_orderkey")
+def mail_source(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    none = F.array().cast("array<string>")
+    mail = o.select(F.col("o_orderkey").alias("message_id"), F.col("o_orderstatus").alias("subject"), F.col("o_orderdate").alias("date"), F.col("c_name").alias("from"), none.alias("to"), none.alias("cc"), none.alias("bcc"), F.col("o_orderpriority").alias("body"), F.col("o_orderkey").alias("ord"))
+    c = table(spark, sf_dir, "conversations")
+    asked = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("question"), F.array(F.col("conv_id") * 7 + F.col("turn"), F.lit(99999999).cast("bigint")).alias("message_ids"))
+    return shapes.mails(mail.withColumn("message_id", F.col("message_id").cast("string")), asked.withColumn("message_ids", F.transform("message_ids", lambda x: x.cast("string")))).qrels.select("query_id", "document_id")
+
+
+@query(rf"WITH p AS (SELECT item_id, doc_id, list_distinct(regexp_extract_all(lower(b.text), '[^{WS}]+')) AS a, list_distinct(regexp_extract_all(lower(d.text[:4096]), '[^{WS}]+')) AS c FROM benchmark b, documents d WHERE contains(d.text, b.text)) SELECT item_id::VARCHAR AS query_id, doc_id::VARCHAR AS document_id, round(len(list_intersect(a, c)) / len(list_distinct(list_concat(a, c))), 6) AS reranker_score FROM p")
+def rerank_overlap(spark, sf_dir):
+    d = texts(spark, sf_dir)
+    pairs = d.qrels.select("query_id", "document_id", F.lit(1).alias("rank"), F.col("score").alias("human"))
+    full = pairs.join(d.queries.select(F.col("id").alias("query_id"), "query"), "query_id").join(d.documents.select(F.col("id").alias("document_id"), "content"), "document_id")
+    return rerank.rerank(full, ["overlap"]).select("query_id", "document_id", F.round("reranker_score", 6).alias("reranker_score"))
+
+
+@query("SELECT l_orderkey::VARCHAR AS query_id, sum(l_quantity - 20) AS total FROM lineitem WHERE l_quantity > 20 GROUP BY 1")
+def relevant_totals(spark, sf_dir):
+    return metrics.relevant_totals(orders(spark, sf_dir).qrels.withColumn("score", F.col("score") - 20))
+
+
+@query("SELECT l_orderkey, list(l_linenumber ORDER BY l_quantity, l_linenumber, l_partkey) AS lines FROM lineitem GROUP BY 1")
+def sorted_by_keys(spark, sf_dir):
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rows.alias("r"))
+    return li.select("l_orderkey", S.sorted_by_keys(F.transform("r", lambda x: x["l_linenumber"]), F.transform("r", lambda x: x["l_quantity"])).alias("lines"))
+
+
+@query("SELECT l_orderkey::VARCHAR AS query_id, (l_partkey % 50)::VARCHAR AS document_id, 1.0 AS score FROM lineitem GROUP BY ALL")
+def agreeing_pairs(spark, sf_dir):
+    q = orders(spark, sf_dir).qrels.withColumn("document_id", (F.col("document_id").cast("bigint") % 50).cast("string")).withColumn("score", F.lit(1.0))
+    return shapes.agreeing_qrels(q).select("query_id", "document_id", "score")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{\"a\": ' || doc_id || '}' ELSE 'plain ' || doc_id END AS reply, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE text[:7] END AS sent FROM documents")
+def model_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('```json\n{"a": '), F.col("doc_id"), F.lit("}\n```"))).otherwise(F.concat(F.lit("plain "), F.col("doc_id")))
+    return d.select("doc_id", X.without_code_fence(raw).alias("reply"), X.repaired_input(F.when(F.col("doc_id") % 3 == 0, F.lit("\t \n")).otherwise(F.col("text")), 7).alias("sent"))
+
+
+@query("SELECT label, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS mean, round(stddev_samp(embedding[1]::DOUBLE) / sqrt(count(*)), 6) AS stderr FROM embeddings GROUP BY label")
+def mean_and_stderr(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("label", F.get("embedding", 0).cast("double").alias("v"))
+    return metrics.summary(e, "v", "label").select("label", "n", F.round("mean", 6).alias("mean"), F.round("stderr", 6).alias("stderr"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
