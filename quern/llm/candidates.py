@@ -1,47 +1,83 @@
 """Similarity components from bucket keys, without all pairs of a bucket.
 
-Items (bigint ids of distinct values) come with the keys of the buckets that they fall in. First every item is compared
-with its bucket's pivot, the least id, which is linear in the rows. Items that are linked by then need no further
-comparison, so a bucket whose items are all in one component is done. In the others the pairs of different components
-are compared, which loses no link: a pair that is not compared is connected already.
+Items (hashes of distinct values) come with the keys of the buckets that they fall in. Buckets of the same items count
+once. First every item is compared with its bucket's pivot, the least id, which is linear in the rows. Items that are
+linked by then need no further comparison, so a bucket whose items are all in one component is done. In the others the
+pairs of different components are compared, which loses no link: a pair that is not compared is connected already. Pairs
+that a sketch rules out are dropped where they arise, before anything is moved for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut
+from quern.llm.common import cut, prefilter
 from quern.llm.components import connected_components
 
 
 def _voted(pairs: DataFrame, votes: int) -> DataFrame:
+    """Distinct pairs (u, v) of (u, v, weight) rows whose weights reach `votes`."""
     if votes == 1:
-        return pairs.distinct()
-    return pairs.groupBy("u", "v").count().filter(F.col("count") >= votes).drop("count")
+        return pairs.select("u", "v").distinct()
+    return pairs.groupBy("u", "v").agg(F.sum("weight").alias("n")).filter(F.col("n") >= votes).drop("n")
 
 
-def bucket_components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], votes: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(components, links) from `keys` (key, id).
+@dataclass(frozen=True)
+class Comparison:
+    """How pairs are compared. `verify` takes pairs (u, v) and returns the linked ones. `sketch` (id and columns of bounded
+    width) and `may` are a cheap test without false dismissals: may(a, b), from a column's names on either side, is false
+    only for pairs that are not linked."""
 
-    `verify` takes pairs (u, v), u < v, and returns those that are linked, with whatever columns besides. components is
+    verify: Callable[[DataFrame], DataFrame]
+    sketch: DataFrame | None = None
+    may: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None
+
+    def sketched(self, df: DataFrame, ident: str, prefix: str) -> DataFrame:
+        """`df` with the sketch of its column `ident`, under prefixed names."""
+        if self.sketch is None:
+            return df
+        return df.join(self.sketch.select(*[F.col(c).alias(ident if c == "id" else prefix + c) for c in self.sketch.columns]), ident)
+
+    def possible(self, df: DataFrame) -> DataFrame:
+        """The rows of `df` (with sketches under a_ and b_) that may be links, without the sketches."""
+        if self.sketch is None:
+            return df
+        return df.filter(self.may(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).drop(*[p + c for p in ("a_", "b_") for c in self.sketch.columns])
+
+
+def bucket_components(keys: DataFrame, prepare: Callable[[DataFrame], Comparison], votes: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(components, links) from distinct rows `keys` (key, id), two bigints; ids must be well-spread 64-bit hashes, since
+    buckets of the same items are told by count, least id and exclusive or.
+
+    `prepare` takes the ids (id) that share a bucket with another and says how their pairs are compared. components is
     (node, root) of the items with a link, links the verified pairs. Only pairs that share at least `votes` buckets are
-    compared; with more than one, the shared buckets of a pair are counted over all buckets that are not done. Null keys and ids are ignored, repeated rows count
-    once, an empty table gives empty results.
+    compared; with more than one, the shared buckets of a pair are counted over all buckets that are not done. Null keys
+    and ids are ignored, an empty table gives empty results.
     """
     keys = keys.filter("key is not null and id is not null")
-    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").drop("last")
-    shared = cut(keys.join(pivots, "key").select("key", "id", "pivot"))
-    pairs = _voted(shared.filter("id > pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")), votes)
-    first = cut(verify(pairs))
-    roots = connected_components(first.select("u", "v"))
-    named = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "pivot", F.coalesce("root", "id").alias("root"))
-    named = cut(named)
+    sets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("id").alias("n"), F.bit_xor("id").alias("x")).filter("n > 1")
+    buckets = cut(sets.groupBy("pivot", "n", "x").agg(F.min("key").alias("key"), F.count("key").alias("weight")))
+    twos = buckets.filter("n = 2").select(F.col("pivot").alias("u"), F.col("pivot").bitwiseXOR(F.col("x")).alias("v"), "weight")
+    large = buckets.filter("n > 2").select("key", "pivot", "weight")
+    shared = cut(prefilter(keys, "key", large).join(large, "key").select("key", "id", "pivot", "weight"))
+    how = prepare(shared.select("id").unionByName(twos.select(F.explode(F.array("u", "v")).alias("id"))).distinct())
+    pairs = cut(_voted(shared.filter("id > pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"), "weight").unionByName(twos), votes))
+    first = cut(how.verify(how.possible(how.sketched(how.sketched(pairs, "u", "a_"), "v", "b_"))))
+    roots = connected_components(first)
+    named = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("root"))
     open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    rest = cut(named.join(open_, "key").distinct())
-    a, b = (rest.select("key", F.col("id").alias(i), F.col("root").alias(f"root_{i}")) for i in "uv")
-    more = _voted(a.join(b, "key").filter("u < v and root_u <> root_v").select("u", "v"), votes).join(pairs, ["u", "v"], "left_anti")
-    links = cut(first.unionByName(verify(more)))
-    return connected_components(links.select("u", "v")), links
+    rest = cut(named.join(open_, "key"))
+    if votes == 1 and rest.isEmpty():
+        return roots, first
+    a = how.sketched(rest.select("key", F.col("id").alias("u"), F.col("root").alias("root_u"), "weight"), "u", "a_")
+    b = how.sketched(rest.select("key", F.col("id").alias("v"), F.col("root").alias("root_v")), "v", "b_")
+    crossing = how.possible(a.join(b, "key").filter("u < v and root_u <> root_v")).select("u", "v", "weight")
+    if votes > 1:  # what two-item buckets say of these pairs counts as well
+        crossing = crossing.unionByName(twos)
+    more = _voted(crossing, votes).join(pairs, ["u", "v"], "left_anti")
+    links = cut(first.unionByName(how.verify(more)))
+    return connected_components(links), links
