@@ -47,6 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+
+
+def in_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """`df`, for a function over Arrow batches of texts: where the session has Spark's default of 10,000 rows a batch, it is
+    set to `rows`, since a batch is held several times over, by the executor and by each of its Python workers."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+    return df
+
+
 def sized_broadcast(df: DataFrame, rows: int, limit: int = 1_000_000) -> DataFrame:
     """`df`, marked for broadcast if its `rows` (counted by the caller, small rows only) are at most `limit`."""
     return F.broadcast(df) if rows <= limit else df

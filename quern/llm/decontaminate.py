@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table, without_ids
+from quern.llm.common import cut, in_batches, table, without_ids
 
 NGRAM = 3
 RUN = 4
@@ -146,7 +146,7 @@ def corpus_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(count[own])], names=["at", "n"])
 
     out = np.zeros(len(items.distinct), np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in in_batches(docs.select(F.col("text").cast("string"))).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["at"]] = r["n"]
     return out
 
@@ -235,7 +235,7 @@ def _slice_leaks(texts: DataFrame, items: Items, score_share: float, least_words
                     yield settle()
         yield settle()
 
-    return texts.mapInArrow(run, schema)
+    return in_batches(texts).mapInArrow(run, schema)
 
 
 def clean_of_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, stable_order, table
+from quern.llm.common import crc_mod, in_batches, stable_order, table
 
 WINDOW = 64
 HIDDEN = 8
@@ -240,7 +240,7 @@ def identify(docs: DataFrame, net: BiGRU | None, labels: list[str]) -> DataFrame
                 score = [min(1.0, float(p[i, k])) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, known))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    return in_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def op2_byte_gru(spark, sf_dir: str) -> DataFrame:

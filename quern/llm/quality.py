@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, sigmoid, table
+from quern.llm.common import crc_mod, in_batches, sigmoid, table
 from quern.llm.labelled import labelled_ids, labelled_rows
 
 PER_CLASS = 6000
@@ -112,7 +112,7 @@ def document_features(docs: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, FEATURES), pa.int32()), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["doc_id", "features"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, features array<double>")
+    return in_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, features array<double>")
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> BradleyTerry:
@@ -141,7 +141,7 @@ def score_quality(docs: DataFrame, model: BradleyTerry) -> DataFrame:
             s = model.score(_matrix(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return in_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(model.score(_matrix(b.column(at))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op5_bradley_terry(spark, sf_dir: str) -> DataFrame:

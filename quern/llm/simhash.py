@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table, without_ids
+from quern.llm.common import cut, in_batches, table, without_ids
 from quern.llm.components import connected_components
 
 GROUP_ROWS = 4096
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fp = np.frombuffer(raw, ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return in_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 def gray_rank(fp: Column) -> Column:

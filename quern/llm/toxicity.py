@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, sigmoid, table
+from quern.llm.common import crc_mod, in_batches, sigmoid, table
 from quern.llm.labelled import labelled_ids, labelled_rows
 
 PER_CLASS = 3000
@@ -247,7 +247,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             s = sigmoid(x @ model.w)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(hits)], names=["doc_id", "score", "predicted", "n_terms"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, score double, predicted int, n_terms int")
+    return in_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, score double, predicted int, n_terms int")
 
 
 def op10_levenshtein_trie(spark, sf_dir: str) -> DataFrame:
