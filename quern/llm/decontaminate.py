@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Test items are read into word n-grams. Their frequencies over the whole corpus are counted in a first pass; of every run
-of `RUN` n-grams in an item the rarest is a seed, so a seed lies in any copied stretch of `RUN` + `NGRAM` - 1 words,
-however often the passage was copied. A second pass finds the seeds in the documents and aligns the item with the
-surroundings of each hit. Items are sent to the tasks in slices of at most `SLICE_WORDS` words, one pass a slice, so
-what a task holds is bounded however large the benchmark is.
+Test items are read into word n-grams, each of which is a seed: which ones an edited copy has kept is not known before. A
+pass over the documents finds the seeds and aligns the item with the surroundings of each hit, unless these hold too few of
+the item's words for the score that is asked for. A copy is missed only if no `NGRAM` words in a row are left of the item.
+Items are sent to the tasks in slices of at most `SLICE_WORDS` words, one pass a slice, so what a task holds is bounded
+however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut, in_batches, table, without_ids
 
 NGRAM = 3
-RUN = 4
 SLICE_WORDS = 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE_SHARE = 0.5
@@ -133,33 +132,11 @@ def slices(benchmark: DataFrame, slice_words: int = SLICE_WORDS) -> Iterator[lis
             yield [(r.item_id, r.text) for r in own]
 
 
-def corpus_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """Occurrences of each of the items' n-grams over all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(len(items.distinct), np.int64)
-        for b in batches:
-            for t in b.column(0):
-                at = items.known(items.codes(items.numbers(t.as_py())))
-                count += np.bincount(at[at >= 0], minlength=len(count))
-        own = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(count[own])], names=["at", "n"])
-
-    out = np.zeros(len(items.distinct), np.int64)
-    for r in in_batches(docs.select(F.col("text").cast("string"))).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["at"]] = r["n"]
-    return out
-
-
-def choose_seeds(items: Items, frequency: np.ndarray, run: int = RUN) -> dict[int, list[tuple[int, int]]]:
-    """code -> [(item, place)]: of every `run` neighbouring n-grams of an item the rarest, the first of equals."""
+def all_seeds(items: Items) -> dict[int, list[tuple[int, int]]]:
+    """code -> [(item, place)] of every n-gram of every item."""
     seeds: dict[int, list[tuple[int, int]]] = {}
-    for k, w in enumerate(items.words):
-        codes = items.codes(w)
-        f = frequency[items.known(codes)] if len(codes) else codes
-        chosen = {s + int(np.argmin(f[s : s + run])) for s in range(max(1, len(codes) - run + 1))} if len(codes) else set()
-        for p in chosen:
-            seeds.setdefault(int(codes[p]), []).append((k, p))
+    for code, k, p in zip(items.code.tolist(), items.owner.tolist(), items.place.tolist()):
+        seeds.setdefault(code, []).append((k, p))
     return seeds
 
 
@@ -177,7 +154,7 @@ def align_document(w: np.ndarray, items: Items, seed_codes: np.ndarray, seeds: d
             low, high = max(0, p - q - slack), min(len(w), p - q + n + slack)
             own = spans.setdefault(k, [])
             if own and low <= own[-1][1] and high - own[-1][0] <= 3 * (n + 2 * slack):
-                own[-1][1] = max(high, own[-1][1])
+                own[-1] = [min(low, own[-1][0]), max(high, own[-1][1])]
             else:
                 own.append([low, high])
     return [(k, w[low:high], low) for k, own in spans.items() for low, high in own]
@@ -201,10 +178,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, score_share: float = SCORE
 
 
 def _slice_leaks(texts: DataFrame, items: Items, score_share: float, least_words: int, schema: str) -> DataFrame:
-    seeds = choose_seeds(items, corpus_frequencies(texts, items))
-    seed_codes = np.array(sorted(seeds), np.int64)
+    seeds, seed_codes = all_seeds(items), items.distinct
+    counted = [np.unique(w, return_counts=True) for w in items.words]
+    least = [(score_share if len(w) >= least_words else 1.0) for w in items.words]
     tiny = {k: w for k, w in enumerate(items.words) if 0 < len(w) < items.n}
 
+    def may_reach(k: int, window: np.ndarray) -> bool:
+        """False only if the item's words in the window are too few for its score, as each gives `MATCH` at most."""
+        kinds, n = counted[k]
+        at = np.minimum(np.searchsorted(kinds, window), len(kinds) - 1)
+        own = np.bincount(at[kinds[at] == window], minlength=len(kinds))
+        return bool(np.minimum(own, n).sum() >= least[k] * len(items.words[k]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, np.ndarray, int]] = []
 
@@ -214,9 +199,8 @@ def _slice_leaks(texts: DataFrame, items: Items, score_share: float, least_words
             for s in range(0, len(held), 256):
                 part = held[s : s + 256]
                 for (doc, k, _, low), (score, start, end, matches) in zip(part, smith_waterman([(items.words[k], w) for _, k, w, _ in part])):
-                    n = len(items.words[k])
-                    share = score / (MATCH * n)
-                    if share >= (score_share if n >= least_words else 1.0):
+                    share = score / (MATCH * len(items.words[k]))
+                    if share >= least[k]:
                         rows.append((doc, items.ids[k], score, share, low + start, low + end, matches))
             held.clear()
             cols = list(zip(*rows)) or [()] * 7
@@ -226,7 +210,7 @@ def _slice_leaks(texts: DataFrame, items: Items, score_share: float, least_words
         for b in batches:
             for doc, t in zip(b.column(0).to_pylist(), b.column(1)):
                 w = items.numbers(t.as_py())
-                held += [(doc, k, win, low) for k, win, low in align_document(w, items, seed_codes, seeds)]
+                held += [(doc, k, win, low) for k, win, low in align_document(w, items, seed_codes, seeds) if may_reach(k, win)]
                 for k, x in tiny.items():
                     hit = np.flatnonzero(np.all([w[i : len(w) - len(x) + 1 + i] == x[i] for i in range(len(x))], axis=0)) if len(w) >= len(x) else ()
                     if len(hit):

@@ -76,3 +76,28 @@ def test_odd_rows(spark, docs_of):
     assert out.columns == docs.columns and out.count() == docs.count() - 4
     assert find_leaks(docs, benchmark.limit(0)).count() == find_leaks(docs.limit(0), benchmark).count() == 0
     assert words_of("A-b c_d") == ["a", "b", "c_d"]
+
+
+def test_heavily_edited_copies_against_aligning_everything(spark, docs_of):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(3000)]
+    items = [rng.choices(vocabulary, k=rng.randint(15, 59)) for _ in range(40)]
+    texts = []
+    for i in range(200):
+        copy = list(items[i % 40])
+        if i < 80:
+            copy[i % 5 :: 5 + i // 40] = ["changed"] * len(copy[i % 5 :: 5 + i // 40])
+        else:
+            for at in rng.sample(range(len(copy)), round(len(copy) * rng.uniform(0.2, 0.3))):
+                copy[at] = rng.choice(vocabulary)
+        texts.append(" ".join([*rng.choices(vocabulary, k=30), *copy, *rng.choices(vocabulary, k=30)]))
+    own = Items([(k, " ".join(x)) for k, x in enumerate(items)])
+    want = set()
+    for d, text in enumerate(texts):
+        for k, (score, *_) in enumerate(smith_waterman([(x, own.numbers(text)) for x in own.words])):
+            if score / (MATCH * len(own.words[k])) >= 0.5:
+                want.add((d, k, score))
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in find_leaks(docs_of(texts), benchmark).collect()}
+    assert len(want) > 150 and got <= want and len(got) >= 0.99 * len(want)
+    assert {w for w in want if w[0] < 80} <= got
