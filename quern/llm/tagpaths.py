@@ -45,9 +45,13 @@ KEEP_SHARE = 0.3
 
 
 class Node:
-    """An open element: path, whether its text is outside the article, and whether it is in an article or main."""
+    """An open element: path, whether its text is outside the article, and whether it is in an article or main.
 
-    __slots__ = ("tag", "path", "outside", "header", "article", "link", "key")
+    `vetoes` are the elements from here up whose class or id has a word of `OUTSIDE_WORDS`; `lifted` decides on them.
+    `named` is -1 if such a word is a whole name, and 1 more if a word of `CONTENT_WORDS` is one.
+    """
+
+    __slots__ = ("tag", "path", "outside", "header", "article", "link", "key", "vetoes", "named")
 
     def __init__(self, tag: str, up: Node | None, attributes: str, key: int):
         self.tag, self.key = tag, key
@@ -57,6 +61,7 @@ class Node:
         self.link = bool(up and up.link) or tag == "a"
         name = tag
         words: set[str] = set()
+        names: set[str] = set()
         if attributes:
             for k, v in ATTRIBUTE.findall(attributes):
                 k, v = k.lower(), v.strip("\"'")
@@ -67,11 +72,14 @@ class Node:
                     self.article |= v.lower() in ("main", "article")
                 elif k in ("class", "id"):
                     words.update(w.lower() for w in WORDS.findall(v))
+                    names.update(v.lower().split())
                     name += "." + re.sub(r"\d+", "", v)
         if tag in OUTSIDE and not (tag == "figcaption" and self.article):
             self.outside = True
-        elif words & OUTSIDE_WORDS and tag not in ("html", "body", "article", "main"):
-            self.outside = True
+        self.vetoes: tuple[Node, ...] = up.vetoes if up else ()
+        self.named = bool(names & CONTENT_WORDS) - bool(names & OUTSIDE_WORDS)
+        if words & OUTSIDE_WORDS and tag not in ("html", "body", "article", "main"):
+            self.vetoes += (self,)
         if tag == "header" or (words & {"header", "head"} and tag not in ("html", "body", "article", "main", *HEADING)):
             self.header = True
         self.path = (up.path if up else ()) if tag in INLINE else ((up.path if up else ()) + (name,))
@@ -110,7 +118,7 @@ def blocks(page: str) -> list[tuple[str, Node, list[Node], int]]:
             if top.link:
                 linked += len(s)
             # inline elements that are outside the article (adverts in a span, hidden text) drop out of the block
-            if top.outside and not home[0].outside:
+            if top.outside and not home[0].outside or len(top.vetoes) > len(home[0].vetoes):
                 return
         parts.append(s)
 
@@ -204,12 +212,32 @@ def path_scores(found: list[tuple[str, Node, list[Node], int]]) -> dict[tuple, f
     return {p: total[p] / n for p, n in count.items()}
 
 
+def lifted(found: list[tuple[str, Node, list[Node], int]]) -> set[int]:
+    """Keys of the vetoed elements that hold the page's text all the same: by the name of a content element and a third of the
+    text, or, if not named as one that is outside, by over half of it with an article or with little text elsewhere."""
+    text: dict[int, int] = {}
+    articles: set[int] = set()
+    nodes: dict[int, Node] = {}
+    total = 0
+    for s, node, opened, linked in found:
+        own = max(0, len(s) - linked)
+        total += own
+        for n in node.vetoes:
+            nodes[n.key] = n
+            text[n.key] = text.get(n.key, 0) + own
+            if any(x.tag in ("article", "main") and n in x.vetoes for x in opened):
+                articles.add(n.key)
+    return {k for k, n in nodes.items() if n.named > 0 and 3 * text[k] >= total or n.named == 0 and 2 * text[k] > total and (k in articles or 5 * text[k] >= 4 * total)}
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line; empty for a null or empty page or one without article text."""
     if not page:
         return ""
     every = blocks(page)
-    found = [b for b in every if not b[1].outside and (not b[1].header or b[1].article and b[1].tag in HEADING)]
+    free = [b for b in every if not b[1].outside]
+    held_by = lifted(free)
+    found = [b for b in free if all(n.key in held_by for n in b[1].vetoes) and (not b[1].header or b[1].article and b[1].tag in HEADING)]
     if not found:
         return ""
     score = path_scores(found)

@@ -26,6 +26,19 @@ def test_without_article_element():
     assert main_text(page).split("\n") == ["Head", PARA, PARA]
 
 
+def test_wrappers_named_after_what_is_around_the_text():
+    text = f"<h1>Head</h1><p>{PARA}</p><p>{PARA}</p>"
+    for wrapper in ('id="content" class="has-sidebar"', 'class="post no-comments"', 'class="main with-nav"', 'class="layout-with-sidebar"'):
+        for body in (text, f"<article>{text}</article>"):
+            page = f'<body><nav><a href=1>A</a></nav><div {wrapper}>{body}<div class="ad"><p>{PARA}</p></div></div><div class="sidebar"><p>{PARA}</p></div></body>'
+            if "layout" in wrapper and body is text:
+                page = page.replace(f'<div class="sidebar"><p>{PARA}</p></div>', "")
+            assert main_text(page).split("\n") == ["Head", PARA, PARA], wrapper
+    for around in ('class="comments"', 'id="comments-section"', 'class="comment-body"'):
+        thread = f"<div {around}>" + f"<p>{PARA}</p>" * 4 + "</div>"
+        assert main_text(f"<body><div class=x>{text}</div>{thread}</body>").split("\n") == ["Head", PARA, PARA], around
+
+
 def test_path_scores_prefer_long_punctuated_paths():
     found = blocks(f"<div><p>{PARA}</p><p>{PARA}</p></div><div class=y><span>tiny</span></div>")
     score = path_scores(found)
