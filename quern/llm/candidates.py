@@ -2,82 +2,123 @@
 
 Items (hashes of distinct values) come with the keys of the buckets that they fall in. Buckets of the same items count
 once. First every item is compared with its bucket's pivot, the least id, which is linear in the rows. Items that are
-linked by then need no further comparison, so a bucket whose items are all in one component is done. In the others the
-pairs of different components are compared, which loses no link: a pair that is not compared is connected already. Pairs
-that a sketch rules out are dropped where they arise, before anything is moved for them.
+linked by then need no further comparison, so a bucket whose items are all in one component is done. Of the others those
+above `HOT` items are cut by finer keys, if the comparison has such, and go through a round of pivots again, and what is
+above `HOT` then is cut once more. In what is not done at last, the pairs of different components are compared, which loses no link: a pair that is not compared is
+connected already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, prefilter
 from quern.llm.components import connected_components
 
+HOT = 128
+#: How often what is still above `HOT` is cut again.
+LEVELS = 4
+
+
+class Comparison:
+    """How pairs are compared."""
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones of distinct pairs (u, v)."""
+        raise TypeError("a comparison has to say which pairs are linked")
+
+    def finer(self, rows: DataFrame) -> DataFrame | None:
+        """(key, id) rows for the (key, id, n) rows of hot buckets of n items, such that linked items of a bucket share a key
+        still; None where there are no finer keys."""
+        return None
+
+
+def _buckets(keys: DataFrame) -> DataFrame:
+    """(key, pivot, n, x, weight) of one bucket each for the sets of two items or more of distinct rows (key, id), and how
+    many buckets hold that set."""
+    sets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("id").alias("n"), F.bit_xor("id").alias("x")).filter("n > 1")
+    return cut(sets.groupBy("pivot", "n", "x").agg(F.min("key").alias("key"), F.count("key").alias("weight")))
+
+
+def _members(keys: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(key, id, pivot, n, weight) of the buckets of more than two."""
+    large = buckets.filter("n > 2").select("key", "pivot", "n", "weight")
+    return cut(prefilter(keys, "key", large).join(large, "key").select("key", "id", "pivot", "n", "weight"))
+
+
+def _twos(buckets: DataFrame) -> DataFrame:
+    return buckets.filter("n = 2").select(F.col("pivot").alias("u"), F.col("pivot").bitwiseXOR(F.col("x")).alias("v"), "weight")
+
 
 def _voted(pairs: DataFrame, votes: int) -> DataFrame:
     """Distinct pairs (u, v) of (u, v, weight) rows whose weights reach `votes`."""
     if votes == 1:
         return pairs.select("u", "v").distinct()
-    return pairs.groupBy("u", "v").agg(F.sum("weight").alias("n")).filter(F.col("n") >= votes).drop("n")
+    return pairs.groupBy("u", "v").agg(F.sum("weight").alias("n")).filter(F.col("n") >= votes).select("u", "v")
 
 
-@dataclass(frozen=True)
-class Comparison:
-    """How pairs are compared. `verify` takes pairs (u, v) and returns the linked ones. `sketch` (id and columns of bounded
-    width) and `may` are a cheap test without false dismissals: may(a, b), from a column's names on either side, is false
-    only for pairs that are not linked."""
+def _pivot_pairs(buckets: DataFrame, shared: DataFrame, votes: int) -> DataFrame:
+    return _voted(_twos(buckets).unionByName(shared.filter("id > pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"), "weight")), votes)
 
-    verify: Callable[[DataFrame], DataFrame]
-    sketch: DataFrame | None = None
-    may: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None
 
-    def sketched(self, df: DataFrame, ident: str, prefix: str) -> DataFrame:
-        """`df` with the sketch of its column `ident`, under prefixed names."""
-        if self.sketch is None:
-            return df
-        return df.join(self.sketch.select(*[F.col(c).alias(ident if c == "id" else prefix + c) for c in self.sketch.columns]), ident)
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, n, weight, root) of the buckets whose items are not all in one component."""
+    named = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "weight", F.coalesce("root", "id").alias("root"))
+    open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    return cut(named.join(open_, "key"))
+
 
-    def possible(self, df: DataFrame) -> DataFrame:
-        """The rows of `df` (with sketches under a_ and b_) that may be links, without the sketches."""
-        if self.sketch is None:
-            return df
-        return df.filter(self.may(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).drop(*[p + c for p in ("a_", "b_") for c in self.sketch.columns])
+def _crossing(rest: DataFrame, votes: int, twos: DataFrame | None) -> DataFrame:
+    """Pairs of different components that share `votes` of the buckets (key, id, root, weight), or of two-item buckets."""
+    a, b = rest.select("key", F.col("id").alias("u"), F.col("root").alias("x"), "weight"), rest.select("key", F.col("id").alias("v"), F.col("root").alias("y"))
+    met = a.join(b, "key").filter("u < v and x <> y").select("u", "v", "weight")
+    return _voted(met if twos is None else met.unionByName(twos), votes)
 
 
-def bucket_components(keys: DataFrame, prepare: Callable[[DataFrame], Comparison], votes: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(components, links) from distinct rows `keys` (key, id), two bigints; ids must be well-spread 64-bit hashes, since
+def bucket_components(keys: DataFrame, prepare: Callable[[DataFrame], Comparison], votes: int = 1, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(components, compared) from distinct rows `keys` (key, id), two bigints; ids must be well-spread 64-bit hashes, since
     buckets of the same items are told by count, least id and exclusive or.
 
-    `prepare` takes the ids (id) that share a bucket with another and says how their pairs are compared. components is
-    (node, root) of the items with a link, links the verified pairs. Only pairs that share at least `votes` buckets are
-    compared; with more than one, the shared buckets of a pair are counted over all buckets that are not done. Null keys
-    and ids are ignored, an empty table gives empty results.
+    `prepare` takes the ids (id) that share a bucket with another and says how their pairs are compared. Only pairs that
+    share at least `votes` buckets are; two items with a finer key in common have to share as many. components is
+    (node, root) of the items with a link, compared the pairs (u, v) that were verified. Null keys and ids are
+    ignored, an empty table gives empty results.
     """
     keys = keys.filter("key is not null and id is not null")
-    sets = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("id").alias("n"), F.bit_xor("id").alias("x")).filter("n > 1")
-    buckets = cut(sets.groupBy("pivot", "n", "x").agg(F.min("key").alias("key"), F.count("key").alias("weight")))
-    twos = buckets.filter("n = 2").select(F.col("pivot").alias("u"), F.col("pivot").bitwiseXOR(F.col("x")).alias("v"), "weight")
-    large = buckets.filter("n > 2").select("key", "pivot", "weight")
-    shared = cut(prefilter(keys, "key", large).join(large, "key").select("key", "id", "pivot", "weight"))
-    how = prepare(shared.select("id").unionByName(twos.select(F.explode(F.array("u", "v")).alias("id"))).distinct())
-    pairs = cut(_voted(shared.filter("id > pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v"), "weight").unionByName(twos), votes))
-    first = cut(how.verify(how.possible(how.sketched(how.sketched(pairs, "u", "a_"), "v", "b_"))))
-    roots = connected_components(first)
-    named = shared.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("root"))
-    open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    rest = cut(named.join(open_, "key"))
-    if votes == 1 and rest.isEmpty():
-        return roots, first
-    a = how.sketched(rest.select("key", F.col("id").alias("u"), F.col("root").alias("root_u"), "weight"), "u", "a_")
-    b = how.sketched(rest.select("key", F.col("id").alias("v"), F.col("root").alias("root_v")), "v", "b_")
-    crossing = how.possible(a.join(b, "key").filter("u < v and root_u <> root_v")).select("u", "v", "weight")
-    if votes > 1:  # what two-item buckets say of these pairs counts as well
-        crossing = crossing.unionByName(twos)
-    more = _voted(crossing, votes).join(pairs, ["u", "v"], "left_anti")
-    links = cut(first.unionByName(how.verify(more)))
-    return connected_components(links), links
+    buckets = _buckets(keys)
+    shared = _members(keys, buckets)
+    pairs = cut(_pivot_pairs(buckets, shared, votes))
+    how = prepare(shared.select("id").unionByName(_twos(buckets).select(F.explode(F.array("u", "v")).alias("id"))).distinct())
+    links = cut(how.verify(pairs))
+    roots = connected_components(links)
+    rest = _open(shared, roots)
+    if rest.isEmpty() and votes == 1:
+        return roots, pairs
+    large, rest = rest.filter(F.col("n") > hot), rest.filter(F.col("n") <= hot)
+    crossing = []
+    for _ in range(LEVELS):
+        finer = None if large.isEmpty() else how.finer(large.select("key", "id", "n"))
+        if finer is None:
+            break
+        own = cut(finer)
+        fine_buckets = _buckets(own)
+        fine = _members(own, fine_buckets)
+        again = cut(_pivot_pairs(fine_buckets, fine, 1).join(pairs, ["u", "v"], "left_anti"))
+        pairs = cut(pairs.unionByName(again))
+        links = cut(links.unionByName(how.verify(again)))
+        roots = connected_components(links)
+        still = _open(fine, roots)
+        crossing.append(still.filter(F.col("n") <= hot).drop("root"))
+        large = still.filter(F.col("n") > hot)
+    if crossing:
+        met = reduce(DataFrame.unionByName, crossing, large.drop("root"))
+        found = _crossing(_open(rest.drop("root"), roots), votes, _twos(buckets) if votes > 1 else None).unionByName(_crossing(_open(met, roots), 1, None)).distinct()
+    else:
+        found = _crossing(rest.unionByName(large), votes, _twos(buckets) if votes > 1 else None)
+    more = cut(found.join(pairs, ["u", "v"], "left_anti"))
+    links = cut(links.unionByName(how.verify(more)))
+    return connected_components(links), pairs.unionByName(more)

@@ -26,10 +26,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with an edge to another node; root is the least node of its component.
+    """(node, root) for every node linked to a lesser one; root is the least node of its component.
 
     `edges` has two bigint columns `u` and `v`. Self-loops and edges with a null end are ignored, repeated edges count
-    once; an empty table gives an empty result. Nodes without an edge are their own root and not listed.
+    once; an empty table gives an empty result. Nodes that are their own root are not listed.
     """
     now = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     sign = None
