@@ -13,15 +13,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, prefilter
 from quern.llm.components import connected_components
 
-HOT = 128
+HOT = 4096
 #: How often what is still above `HOT` is cut again.
-LEVELS = 4
+LEVELS = 3
 
 
 class Comparison:
@@ -31,6 +31,14 @@ class Comparison:
         """The linked ones of distinct pairs (u, v)."""
         raise TypeError("a comparison has to say which pairs are linked")
 
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        """`rows` with a column `sketch` of bounded width, by their column `id`."""
+        return rows.withColumn("sketch", F.lit(0))
+
+    def possible(self, x: Column, y: Column) -> Column:
+        """Whether items of these sketches may be linked."""
+        return F.lit(True)
+
     def finer(self, rows: DataFrame) -> DataFrame | None:
         """(key, id) rows for the (key, id, n) rows of hot buckets of n items, such that linked items of a bucket share a key
         still; None where there are no finer keys."""
@@ -72,10 +80,13 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(named.join(open_, "key"))
 
 
-def _crossing(rest: DataFrame, votes: int, twos: DataFrame | None) -> DataFrame:
-    """Pairs of different components that share `votes` of the buckets (key, id, root, weight), or of two-item buckets."""
-    a, b = rest.select("key", F.col("id").alias("u"), F.col("root").alias("x"), "weight"), rest.select("key", F.col("id").alias("v"), F.col("root").alias("y"))
-    met = a.join(b, "key").filter("u < v and x <> y").select("u", "v", "weight")
+def _crossing(rest: DataFrame, votes: int, twos: DataFrame | None, how: Comparison) -> DataFrame:
+    """Pairs of different components that share `votes` of the buckets (key, id, root, weight), or of two-item buckets. Pairs
+    that the sketches rule out are dropped where they arise."""
+    rest = cut(how.sketched(rest))
+    a = rest.select("key", F.col("id").alias("u"), F.col("root").alias("x"), F.col("sketch").alias("s"), "weight")
+    b = rest.select("key", F.col("id").alias("v"), F.col("root").alias("y"), F.col("sketch").alias("t"))
+    met = a.join(b, "key").filter("u < v and x <> y").filter(how.possible(F.col("s"), F.col("t"))).select("u", "v", "weight")
     return _voted(met if twos is None else met.unionByName(twos), votes)
 
 
@@ -116,9 +127,9 @@ def bucket_components(keys: DataFrame, prepare: Callable[[DataFrame], Comparison
         large = still.filter(F.col("n") > hot)
     if crossing:
         met = reduce(DataFrame.unionByName, crossing, large.drop("root"))
-        found = _crossing(_open(rest.drop("root"), roots), votes, _twos(buckets) if votes > 1 else None).unionByName(_crossing(_open(met, roots), 1, None)).distinct()
+        found = _crossing(_open(rest.drop("root"), roots), votes, _twos(buckets) if votes > 1 else None, how).unionByName(_crossing(_open(met, roots), 1, None, how)).distinct()
     else:
-        found = _crossing(rest.unionByName(large), votes, _twos(buckets) if votes > 1 else None)
+        found = _crossing(rest.unionByName(large), votes, _twos(buckets) if votes > 1 else None, how)
     more = cut(found.join(pairs, ["u", "v"], "left_anti"))
     links = cut(links.unionByName(how.verify(more)))
     return connected_components(links), pairs.unionByName(more)
