@@ -39,6 +39,12 @@ class Comparison:
         """Whether items of these sketches may be linked."""
         return F.lit(True)
 
+    def sifted(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) that their sketches do not rule out."""
+        both = self.sketched(pairs.withColumnRenamed("u", "id")).withColumnRenamed("id", "u").withColumnRenamed("sketch", "s")
+        both = self.sketched(both.withColumnRenamed("v", "id")).withColumnRenamed("id", "v").withColumnRenamed("sketch", "t")
+        return both.filter(self.possible(F.col("s"), F.col("t"))).select("u", "v")
+
     def finer(self, rows: DataFrame) -> DataFrame | None:
         """(key, id) rows for the (key, id, n) rows of hot buckets of n items, such that linked items of a bucket share a key
         still; None where there are no finer keys."""
@@ -104,7 +110,7 @@ def bucket_components(keys: DataFrame, prepare: Callable[[DataFrame], Comparison
     shared = _members(keys, buckets)
     pairs = cut(_pivot_pairs(buckets, shared, votes))
     how = prepare(shared.select("id").unionByName(_twos(buckets).select(F.explode(F.array("u", "v")).alias("id"))).distinct())
-    links = cut(how.verify(pairs))
+    links = cut(how.verify(how.sifted(pairs)))
     roots = connected_components(links)
     rest = _open(shared, roots)
     if rest.isEmpty() and votes == 1:
@@ -120,7 +126,7 @@ def bucket_components(keys: DataFrame, prepare: Callable[[DataFrame], Comparison
         fine = _members(own, fine_buckets)
         again = cut(_pivot_pairs(fine_buckets, fine, 1).join(pairs, ["u", "v"], "left_anti"))
         pairs = cut(pairs.unionByName(again))
-        links = cut(links.unionByName(how.verify(again)))
+        links = cut(links.unionByName(how.verify(how.sifted(again))))
         roots = connected_components(links)
         still = _open(fine, roots)
         crossing.append(still.filter(F.col("n") <= hot).drop("root"))
