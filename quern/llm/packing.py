@@ -1,8 +1,9 @@
 """Packing documents into fixed-length token sequences: best fit, then local search by swaps.
 
 Tokens are counted where the text is read and only narrow rows are shuffled. Pieces go to packing groups by hash; a
-group is packed on its own, so no task holds more than about `group_pieces` pieces, and each group costs at most one
-sequence that a global packing might save.
+group is packed on its own, so no task holds more than about `group_pieces` pieces. Local search looks for what takes the
+place of one document of the emptiest bin, or of two of its `LONGEST` longest ones; it may end above the least number of
+sequences.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from quern.llm.common import cut, in_batches, table
 
 CAPACITY = 4096
 GROUP_PIECES = 60_000
-CACHE_CHUNKS = 350_000
+#: Documents of a bin that are tried in pairs, the longest ones.
+LONGEST = 40
+#: Chunks that a worker keeps, some 200 bytes each.
+CACHE_CHUNKS = 700_000
 
 
 class ChunkCache(dict):
@@ -58,10 +62,10 @@ class ChunkEncoder:
         self.limit = cache_chunks
 
     @classmethod
-    def of(cls, path: str) -> "ChunkEncoder":
+    def of(cls, path: str, cache_chunks: int) -> "ChunkEncoder":
         """One for each Python worker, kept between its tasks."""
-        if path not in cls.own:
-            cls.own[path] = cls(path)
+        if path not in cls.own or cls.own[path].limit != cache_chunks:
+            cls.own[path] = cls(path, cache_chunks)
         return cls.own[path]
 
     def _ids(self, text: str) -> bytes:
@@ -117,14 +121,14 @@ class ChunkEncoder:
         return out
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each text and `end_id`, cut at every `capacity` ids.
 
     A null text counts as empty, its one piece is the end id alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder.of(tokenizer_path)
+        encoder = ChunkEncoder.of(tokenizer_path, cache_chunks)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -199,7 +203,7 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries
                 break
         if not done:
             others = np.flatnonzero(room[home] > 0)
-            gives = [[i] for i in own] + [[i, j] for k, i in enumerate(own[:40]) for j in own[k + 1 : 40]]
+            gives = [[i] for i in own] + [[i, j] for k, i in enumerate(own[:LONGEST]) for j in own[k + 1 : LONGEST]]
             best, choice = 0, None
             for give in gives:
                 gain = int(size[give].sum()) - size[others]
@@ -239,13 +243,13 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bin_of, offset
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, group_pieces: int = GROUP_PIECES, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of `docs` is packed, repeated rows and rows with a null doc_id each on their own; a null or empty text is
     the end id alone; an empty table gives an empty result; columns other than doc_id and text are not looked at.
     """
-    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id))
+    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, cache_chunks))
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
