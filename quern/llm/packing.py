@@ -8,14 +8,16 @@ sequences.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,31 +26,28 @@ from quern.llm.common import cut, in_batches, table
 
 CAPACITY = 4096
 GROUP_PIECES = 60_000
+#: Characters that are encoded together.
+SLICE_CHARS = 12_000_000
 #: Documents of a bin that are tried in pairs, the longest ones.
 LONGEST = 40
 #: Chunks that a worker keeps, some 200 bytes each.
 CACHE_CHUNKS = 700_000
 
 
-class ChunkCache(dict):
-    """A dictionary; what it lacks is looked up in `more`."""
-
-    more: dict[str, bytes] = {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.more[chunk]
-
-
 class ChunkEncoder:
     """Ids of a tokenizer that never looks across white space, from a cache of the chunks between it.
 
     `word_bpe_49k.json` normalises (NFC, white space to one space, lower case), splits by its pattern and then merges
-    inside each piece, so a text's ids are its chunks' ids in a row. New chunks are encoded together, and the ids are told
-    apart by the tokens that end a piece. Texts with a special string, or with control characters that count as white
-    space here but not there, go to the tokenizer itself. The cache keeps the first `cache_chunks` chunks.
+    inside each piece, so a text's ids are its chunks' ids in a row. The distinct chunks of some megabytes of text are looked
+    up, new ones are encoded together, and their ids are told apart by the tokens that end a piece. Texts with a
+    special string, or with control characters that count as white space here but not there, go to the tokenizer itself.
+    The cache keeps the first `cache_chunks` chunks, its ids in one array.
     """
 
-    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PIECES = regex.compile(PIECE)
+    #: What counts as a letter or a number elsewhere depends on the version of Unicode, and the lower case of U+0130 is two.
+    KNOWN = re.compile(r"[\x21-\x7e\u00a0-\u012f\u0131-\u024f\u0300-\u052f\u05d0-\u05ea\u0600-\u06ff\u0900-\u097f\u0e00-\u0e7f\u2010-\u2027\u20a0-\u20bf\u3040-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]+")
     own: dict[str, "ChunkEncoder"] = {}
 
     def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
@@ -58,8 +57,10 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache = ChunkCache()
         self.limit = cache_chunks
+        #: Number of a chunk; ids of all in a row, where each begins and how many it has. The empty chunk has none.
+        self.cache: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str, cache_chunks: int) -> "ChunkEncoder":
@@ -68,58 +69,73 @@ class ChunkEncoder:
             cls.own[path] = cls(path, cache_chunks)
         return cls.own[path]
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _new(self, chunks: list[str]) -> dict[str, bytes]:
-        out = {}
-        for s in range(0, len(chunks), 5000):
-            part = chunks[s : s + 5000]
-            pieces = np.array([1 if c.isalpha() and c.isascii() else len(self.PIECE.findall(unicodedata.normalize("NFC", c).lower())) for c in part])
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _new(self, chunks: list[str], known: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks in a row, and how many each has. Those from `known` on are encoded one by one."""
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for s in range(0, known, 5000):
+            part = chunks[s : min(s + 5000, known)]
+            array = pa.array(part, pa.string())
+            pieces = pc.count_substring_regex(pc.ascii_lower(array), self.PIECE).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i in np.flatnonzero(~pc.string_is_ascii(array).to_numpy(zero_copy_only=False)).tolist():
+                pieces[i] = len(self.PIECES.findall(unicodedata.normalize("NFC", part[i]).lower()))
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != pieces.sum() or (pieces == 0).any():
-                out.update((c, self._ids(c)) for c in part)
-                continue
-            stops = (4 * ends[np.cumsum(pieces) - 1]).tolist()
-            raw = ids.tobytes()
-            out.update((c, raw[a:b]) for c, a, b in zip(part, [0, *stops], stops))
-        return out
+            if len(ends) == pieces.sum() and (pieces > 0).all():
+                flat.append(ids)
+                sizes.append(np.diff(ends[np.cumsum(pieces) - 1], prepend=0))
+            else:
+                own = [self._ids(c) for c in part]
+                flat += own
+                sizes.append(np.fromiter(map(len, own), np.int64, len(own)))
+        own = [self._ids(c) for c in chunks[known:]]
+        return np.concatenate(flat + own), np.concatenate([*sizes, np.fromiter(map(len, own), np.int64, len(own))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]
-        new = set().union(*[chunks for chunks in split if chunks]).difference(self.cache)
-        own = self._found(new) if new else {}
-        cache = self.cache
-        cache.update(islice(own.items(), max(0, self.limit - len(cache))))
-        cache.more = own
-        return [self._ids(t) if chunks is None else b"".join(map(cache.__getitem__, chunks)) for t, chunks in zip(texts, split)]
-
-    def _found(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of chunks: ASCII words with one full stop or comma, or with a capital, from the plain word."""
-        cache, out, rest = self.cache, {}, []
-        tails = {t: self._ids(t) for t in ",."}
-        cores: dict[str, list[tuple[str, bytes]]] = {}
-        for c in new:
-            if c.isascii():
-                tail = tails.get(c[-1], b"")
-                core = (c[:-1] if tail else c).lower()
-                if core.isalpha():
-                    ids = cache.get(core)
-                    if ids is None:
-                        cores.setdefault(core, []).append((c, tail))
-                    else:
-                        out[c] = ids + tail
-                    continue
-            rest.append(c)
-        for core, ids in self._new(list(cores)).items():
-            out[core] = ids
-            for c, tail in cores[core]:
-                out[c] = ids + tail
-        out.update(self._new(rest))
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):  # texts of some megabytes together, or one
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= SLICE_CHARS:
+                size += len(texts[end])
+                end += 1
+            out += self._encode(texts[at:end])
+            at = end
         return out
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        odd = ["<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t for t in texts]
+        words = pc.utf8_split_whitespace(pa.array(["" if o else t for t, o in zip(texts, odd)], pa.large_string()))
+        found = words.values.dictionary_encode()
+        flat, starts, sizes = self._looked_up(found.dictionary.to_pylist())
+        codes = found.indices.to_numpy()
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        tokens = flat[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        stops = ends[words.offsets.to_numpy()].tolist()
+        return [(self._ids(t) if o else tokens[a:b]).tobytes() for t, o, a, b in zip(texts, odd, stops, stops[1:])]
+
+    def _looked_up(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in a row, and where in it those of each chunk begin and how many they are."""
+        at = np.fromiter(map(self.cache.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
+        known = np.fromiter((chunks[i].isascii() or self.KNOWN.fullmatch(chunks[i]) is not None for i in new.tolist()), bool, len(new))
+        new = np.concatenate([new[known], new[~known]])
+        fresh = [chunks[i] for i in new.tolist()]
+        own, own_sizes = self._new(fresh, int(known.sum()))
+        sizes, starts = self.sizes[at], self.starts[at]
+        sizes[new] = own_sizes
+        starts[new] = len(self.flat) + np.cumsum(own_sizes) - own_sizes
+        flat = np.concatenate([self.flat, own])
+        if kept := fresh[: max(0, self.limit - len(self.cache))]:
+            self.cache.update(zip(kept, range(len(self.cache), len(self.cache) + len(kept))))
+            self.starts, self.sizes = np.concatenate([self.starts, starts[new[: len(kept)]]]), np.concatenate([self.sizes, own_sizes[: len(kept)]])
+            self.flat = flat[: len(self.flat) + own_sizes[: len(kept)].sum()].copy()
+        return flat, starts, sizes
+
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each text and `end_id`, cut at every `capacity` ids.
@@ -127,21 +143,32 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     A null text counts as empty, its one piece is the end id alone.
     """
 
+    end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
+
+    def cut_up(encoder: ChunkEncoder, ids: list, texts: list[str]) -> pa.RecordBatch:
+        rows: list[list] = [[], [], [], [], []]
+        for doc_id, tokens in zip(ids, encoder.encode(texts)):
+            tokens += end
+            for piece, at in enumerate(range(0, len(tokens), width)):
+                part = tokens[at : at + width]
+                for column, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part) & 0xFFFFFFFF)):
+                    column.append(value)
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(tokenizer_path, cache_chunks)
-        end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
+        ids, texts, size = [], [], 0
         for b in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for s in range(0, b.num_rows, 1000):
-                some = b.slice(s, 1000)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode([t or "" for t in some.column(1).to_pylist()])):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), width)):
-                        part = ids[at : at + width]
-                        for column, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part) & 0xFFFFFFFF)):
-                            column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids += b.column(0).to_pylist()
+            new = [t or "" for t in b.column(1).to_pylist()]
+            texts += new
+            size += sum(map(len, new))
+            if size >= SLICE_CHARS:
+                yield cut_up(encoder, ids, texts)
+                ids, texts, size = [], [], 0
+        if ids:
+            yield cut_up(encoder, ids, texts)
 
     return in_batches(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import public_tokenizers
 from conftest_odd import ODD
 from tokenizers import Tokenizer
 
-from quern.llm.packing import best_fit, op4_swap_packing, pack, pack_documents, swap_search
+from quern.llm.packing import ChunkEncoder, best_fit, op4_swap_packing, pack, pack_documents, swap_search
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -69,3 +70,15 @@ def test_random_packings_hold_all_and_are_near_the_bound():
             own = own[np.argsort(offset[own])]
             assert (offset[own] == np.cumsum(lengths[own]) - lengths[own]).all()
     assert pack(np.zeros(0, np.int64), 10)[0].size == 0
+
+
+def test_encoder_gives_the_tokenizer_s_ids_for_texts_of_any_script():
+    rng = random.Random(1)
+    pool = "abcDEFé ß'İıſK 0123९²½ .,!?-_’“” \t\n\xa0　​你好のはп́̈😀ﬁǅ𝒜\x00\x7f\x85'S'tI'm"
+    char = lambda: rng.choice(pool) if rng.random() < 0.9 else chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x20000)]))
+    texts = ["".join(char() for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["<|endoftext|> a", "a\x1cb", ""]
+    tokenizer, encoder = Tokenizer.from_file(PATH), ChunkEncoder(PATH, 3000)
+    for s in range(0, len(texts), 500):
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[s : s + 500]]
+        assert encoder.encode(texts[s : s + 500]) == want
