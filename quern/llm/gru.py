@@ -188,9 +188,9 @@ def document_probabilities(net: BiGRU, labels: int, texts: list[str | None], chu
 
 def training_sample(docs: DataFrame, modulus: int = 5, held_out: int = 0, rows: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """At most `rows` (text, lang) of texts up to `chars` characters whose crc32(doc_id) mod `modulus` is not `held_out`,
-    by hashed id; about equally many of each of the languages, as far as there are."""
+    by hashed id; about equally many of each of the languages (the `rows` most frequent), as far as there are."""
     usable = docs.filter("text is not null and lang is not null and doc_id is not null").filter(F.length("text") <= chars).filter(crc_mod(F.col("doc_id"), modulus) != held_out)
-    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
+    langs = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()
     if not langs:
         return []
     each = max(1, rows // len(langs))

@@ -20,5 +20,8 @@ def labelled_ids(labels: DataFrame, column: str, modulus: int, held_out: int, pe
 
 
 def labelled_rows(docs: DataFrame, ids: DataFrame) -> list:
-    """The rows of `docs` with an id of `ids`, with `label`, in a fixed order. `ids` is bounded, so it is broadcast."""
-    return sorted(docs.join(F.broadcast(ids), "doc_id").collect(), key=lambda r: (r.doc_id, str(r)))
+    """One row of `docs` for each id of `ids`, the least, with `label`, in the order of the ids. `ids` is bounded, so it is
+    broadcast, and what is collected is bounded by it."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    one = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*rest, "label")).alias("row"))
+    return sorted(one.select("doc_id", "row.*").collect(), key=lambda r: r.doc_id)

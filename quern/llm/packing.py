@@ -137,7 +137,7 @@ class ChunkEncoder:
         return flat, starts, sizes
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, cache_chunks: int = CACHE_CHUNKS, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of each text and `end_id`, cut at every `capacity` ids.
 
     A null text counts as empty, its one piece is the end id alone.
@@ -164,7 +164,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
             new = [t or "" for t in b.column(1).to_pylist()]
             texts += new
             size += sum(map(len, new))
-            if size >= SLICE_CHARS:
+            if size >= slice_chars:
                 yield cut_up(encoder, ids, texts)
                 ids, texts, size = [], [], 0
         if ids:
@@ -270,13 +270,13 @@ def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bin_of, offset
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, group_pieces: int = GROUP_PIECES, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, group_pieces: int = GROUP_PIECES, cache_chunks: int = CACHE_CHUNKS, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of `docs` is packed, repeated rows and rows with a null doc_id each on their own; a null or empty text is
     the end id alone; an empty table gives an empty result; columns other than doc_id and text are not looked at.
     """
-    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, cache_chunks))
+    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, cache_chunks, slice_chars))
     groups = max(1, -(-pieces.count() // group_pieces))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, in_batches, table, without_ids
+from quern.llm.common import cut, in_batches, prefilter, table, without_ids
 from quern.llm.components import connected_components
 
 GROUP_ROWS = 4096
@@ -147,6 +147,22 @@ def _forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return root
 
 
+def _tree(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the pairs (x, y) of n nodes, fewer than n, that connect what all of them connect."""
+    left, right = [x[:0]], [y[:0]]
+    root = np.arange(n)
+    while True:
+        apart = root[x] != root[y]
+        x, y = x[apart], y[apart]
+        if not len(x):
+            return np.concatenate(left), np.concatenate(right)
+        # of each component one pair that leaves it by its lesser root: no circles
+        low, first = np.unique(np.maximum(root[x], root[y]), return_index=True)
+        left.append(x[first])
+        right.append(y[first])
+        root = _forest(n, root[x[first]], root[y[first]])[root]
+
+
 def _links(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that span the links of one unit: of all its fingerprints, or between its sides 0 and 1."""
     if len(fp) < 2:
@@ -161,9 +177,8 @@ def _links(fp: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, n
         x, y = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius, 1))
     else:
         x, y = index_pairs(index := GrayIndex(fp), index, radius)
-    root = _forest(len(fp), x, y)
-    own = np.flatnonzero(root != np.arange(len(fp)))
-    return fp[own], fp[root[own]]
+    x, y = _tree(len(fp), x, y)
+    return fp[x], fp[y]
 
 
 def _search(radius: int):
@@ -250,15 +265,65 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first_of_near_copies(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of `docs` but those linked, over whatever documents, to one with a smaller doc_id.
+def word_shingles(text: str | None, width: int) -> set[bytes]:
+    """Runs of `width` words, lower-cased as for fingerprints; of fewer words the whole sequence; empty without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for the rows of `docs` with a doc_id: components of texts of equal words, and of texts
+    whose fingerprints are within `radius` bits and whose word shingles have a Jaccard similarity of `similarity`.
+
+    Of what the fingerprints link those pairs are compared that connect it, fewer than there are texts; a pair that
+    fails is not replaced by another. Null and wordless texts are equal.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            fp = np.frombuffer(b"".join(fingerprint_bytes(t, width) for t in texts), ">i8").astype(np.int64)
+            body = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
+            hashes = pa.array([xxhash.xxh64_intdigest(t, 11) - (1 << 63) for t in body], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), hashes], names=["doc_id", "fp", "body"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    prints = cut(in_batches(rows).mapInArrow(run, "doc_id bigint, fp bigint, body bigint").filter("doc_id is not null"))
+    bodies = cut(prints.groupBy("body").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")))
+    firsts = bodies.groupBy("fp").agg(F.min("first").alias("lead"))
+    edges = near_pairs(bodies, radius)
+    across = edges.join(firsts.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v")
+    within = bodies.join(firsts, "fp").filter("first <> lead").select(F.col("lead").alias("a"), F.col("first").alias("b"))
+    pairs = cut(across.select("a", "b").unionByName(within).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = cut(prefilter(rows.filter("doc_id is not null"), "doc_id", ends).join(ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                s, t = word_shingles(x.as_py(), width), word_shingles(y.as_py(), width)
+                both = len(s & t)
+                keep.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
+
+    sides = [texts.select(F.col("doc_id").alias(k), F.col("text").alias(n)) for k, n in (("a", "x"), ("b", "y"))]
+    links = in_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")).mapInArrow(alike, "u bigint, v bigint")
+    roots = connected_components(links).withColumnRenamed("node", "first")
+    return prints.join(bodies.select("body", "first"), "body").join(roots, "first", "left").select("doc_id", F.coalesce("root", "first").alias("component_id"))
+
+
+def keep_first_of_near_copies(docs: DataFrame, width: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` but those that `near_copies` puts with one of a smaller doc_id.
 
-    Of rows repeated under one doc_id one stays; rows with a null doc_id stay.
+    Of rows repeated under one doc_id one stays, and of null and wordless texts the first; rows with a null doc_id stay; an
+    empty table gives an empty result.
     """
-    found = cut(simhash_components(docs, width, radius))
-    gone = found.filter("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    found = cut(near_copies(docs, width, radius, similarity))
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     left = without_ids(docs, gone)
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > 1)
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > 1)
     return left if repeated.isEmpty() else left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
 
 

@@ -7,7 +7,9 @@ import xxhash
 from conftest_odd import ODD
 
 from quern.llm.components import connected_components
-from quern.llm.simhash import GrayIndex, fingerprint_bytes, index_pairs, near_pairs, op9_simhash_gray, pigeonhole_masks, simhash_components
+from quern.llm.simhash import (
+    GrayIndex, _forest, _tree, fingerprint_bytes, index_pairs, keep_first_of_near_copies, near_copies, near_pairs, op9_simhash_gray, pigeonhole_masks, simhash_components, word_shingles,
+)
 
 
 def plain_fingerprint(text, width=4):
@@ -104,3 +106,42 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 199), (199, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 160)}, 200: 199}
+
+
+def test_near_copies_share_five_word_shingles(spark, docs_of):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(3, 8)))
+    texts, base_of = [], {}
+    for k in range(40):
+        base = [word() for _ in range(300)]
+        base_of[len(texts)] = k
+        texts.append(base)
+        for edits in (1, 2, 3, 40):
+            copy = list(base)
+            for i in rng.sample(range(300), edits):
+                copy[i] = word()
+            base_of[len(texts)] = k if edits < 40 else -1 - k
+            texts.append(copy)
+    lines = [" ".join(t) for t in texts] + [" ".join(texts[0]).upper() + " ", None, "", None]
+    sets = [word_shingles(t, 5) for t in lines]
+    got = {r.doc_id: r.component_id for r in near_copies(docs_of(lines)).collect()}
+    assert got[200] == 0 and got[201] == got[202] == got[203] == 201
+    close = [(i, j) for i in range(200) for j in range(i) if base_of[i] == base_of[j]]
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in close if j % 5 == 0)
+    prints = [int.from_bytes(fingerprint_bytes(t, 5), "big") for t in lines]
+    near = np.array([(i, j) for i in range(200) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert [got[i] for i in range(200)] == _forest(200, near[:, 0], near[:, 1]).tolist()
+    # what seven of 64 bits can tell of copies of a similarity of 0.9 and more
+    assert np.mean([got[i] == got[j] for i, j in close if j % 5 == 0]) >= 0.75
+    assert all(got[i] == i for i in range(200) if base_of[i] < 0)  # 40 edits: a similarity of a third
+    kept = {r.doc_id for r in keep_first_of_near_copies(docs_of(lines)).collect()}
+    assert kept == {i for i, c in got.items() if i == c}
+
+
+def test_a_tree_of_links_spans_them():
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (2, 1), (50, 30), (50, 400), (300, 280)):
+        x, y = rng.integers(0, n, (2, m))
+        x, y = x[x != y], y[x != y]
+        a, b = _tree(n, x, y)
+        assert (_forest(n, a, b) == _forest(n, x, y)).all() and len(a) == n - len(set(_forest(n, x, y))) and {*zip(a, b)} <= {*zip(x, y)}
