@@ -68,18 +68,33 @@ def _block_topk(rows: list, documents: DataFrame, k: int) -> DataFrame:
     return own.mapInArrow(run, "query_id string, document_id string, ord bigint, score double")
 
 
-def bm25_terms(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(tf, lengths): occurrences of each term in each document by `ord`, and each document's words."""
+#: Distinct query words up to which they are broadcast.
+BROADCAST_TERMS = 1_000_000
+
+
+def bm25_terms(documents: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tf, lengths): occurrences of each term in each document by `ord`, and each document's words. With `wanted` (term) only
+    of its terms, which other words leave before anything is moved if they are at most `BROADCAST_TERMS`."""
     tokens = documents.select("ord", words("content").alias("w"))
     lengths = tokens.select("ord", F.size("w").alias("length"))
-    tf = tokens.select("ord", F.explode("w").alias("term")).groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf, lengths
+    each = tokens.select("ord", F.explode("w").alias("term"))
+    if wanted is not None:
+        few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        each = each.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    return each.groupBy("ord", "term").agg(F.count(F.lit(1)).alias("tf")), lengths
+
 
+def bm25_vocabulary(documents: DataFrame) -> DataFrame:
+    """(term, df, n): documents that hold a term, and its occurrences, added up where the texts are read."""
+    w = words("content")
+    found = F.concat(F.transform(w, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"))), F.transform(F.array_distinct(w), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))))
+    each = documents.select(F.explode(found).alias("t")).select("t.term", "t.d")
+    return each.groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("n"))
 
-def bm25_idf(tf: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
-    """(term, df, idf): the negative ones are a share of the mean over the vocabulary."""
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+
+def bm25_idf(vocabulary: DataFrame, n: int, epsilon: float = 0.25) -> DataFrame:
+    """(term, df, idf) from (term, df): the negative ones are a share of the mean over the vocabulary."""
+    raw = vocabulary.select("term", "df").withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -88,28 +103,44 @@ def bm25_topk(queries: DataFrame, documents: DataFrame, k: int = K, k1: float =
     """(query_id, rank, document_id, score) by BM25 over lower-cased words of at most `most` tokens of each text.
 
     Every document has a score, 0 where it shares no word, so each query has min(k, documents) rows; equal scores are
-    ordered by `ord`. Postings are cut to the queries' words before they are counted.
+    ordered by `ord`. Words that no query asks for leave where the texts are read. The best k of each query are persisted
+    until the session's cache is cleared.
     """
     docs = documents.select("id", F.col("ord").cast("bigint").alias("ord"), truncate("content", most).alias("content"))
     n, mean_length = docs.select(F.size(words("content")).alias("n")).agg(F.count(F.lit(1)), F.avg("n")).first()
     empty = documents.sparkSession.createDataFrame([], "query_id string, rank int, document_id string, score double")
     if not n:
         return empty
-    tf, lengths = bm25_terms(docs)
     q = queries.select(F.col("id").alias("query_id"), F.explode(words(truncate("query", most))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    idf = bm25_idf(tf, n, epsilon).join(q.select("term").distinct(), "term", "left_semi")
+    idf = bm25_idf(bm25_vocabulary(docs), n, epsilon)
     weigh = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean_length or 1.0))))
-    postings = tf.join(idf.select("term", "idf"), "term").join(lengths, "ord").select("term", "ord", (F.col("idf") * weigh).alias("weight"))
-    scored = q.join(postings, "term").groupBy("query_id", "ord").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
-    # The documents a query shares no word with score 0. Its first k of them lie among the first k + (shared) places.
-    shared = queries.select(F.col("id").alias("query_id")).join(scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("score") > 0, 1)).alias("good")), "query_id", "left")
-    short = shared.filter(F.coalesce("good", F.lit(0)) < k)
-    places = short.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.coalesce("m", F.lit(0)) + k, F.lit(n)) - 1)).alias("place"))
+
+    def scores(q: DataFrame) -> DataFrame:
+        asked = q.select("term").distinct()
+        tf, lengths = bm25_terms(docs, asked)
+        weights = idf.join(asked, "term", "left_semi").select("term", "idf")
+        postings = tf.join(weights, "term").join(lengths, "ord").select("term", "ord", (F.col("idf") * weigh).alias("weight"))
+        return q.join(postings, "term").groupBy("query_id", "ord").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+
+    def finished(best: DataFrame) -> DataFrame:
+        return best.join(docs.select("ord", F.col("id").alias("document_id")), "ord").select("query_id", "rank", "document_id", "score")
+
+    # A sum's last digits depend on the order of its parts: equal scores are those equal to nine places.
+    order = (F.round("score", 9).desc(), F.col("ord").asc())
+    best = top_k(scores(q), "query_id", k, *order).persist()  # k rows a query
+    whole = best.filter("score > 0").groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    short = queries.select(F.col("id").alias("query_id")).join(whole, "query_id", "left_anti")
+    if short.isEmpty():
+        return finished(best)
+    # Too few documents share a word with these: the others have score 0. The first k of them lie among the first
+    # k + (shared) places.
+    scored = scores(q.join(short, "query_id", "left_semi"))
+    shared = short.join(scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id", "left")
+    places = shared.select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.coalesce("m", F.lit(0)) + k, F.lit(n)) - 1)).alias("place"))
     placed = dense_ordinal(docs.select("ord"), "ord", name="place")
     zeros = places.join(placed, "place").select("query_id", "ord").join(scored, ["query_id", "ord"], "left_anti").withColumn("score", F.lit(0.0))
-    # A sum's last digits depend on the order of its parts: equal scores are those equal to nine places.
-    best = top_k(scored.unionByName(zeros), "query_id", k, F.round("score", 9).desc(), F.col("ord").asc())
-    return best.join(docs.select("ord", F.col("id").alias("document_id")), "ord").select("query_id", "rank", "document_id", "score")
+    rest = top_k(scored.unionByName(zeros), "query_id", k, *order)
+    return finished(best.join(short, "query_id", "left_anti").unionByName(rest))
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, k: int = K) -> DataFrame:

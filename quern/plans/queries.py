@@ -114,9 +114,8 @@ TOK = rf"regexp_extract_all(lower(text), '[^{WS}]+')"
 @query(rf"WITH t AS (SELECT doc_id, {TOK} AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS term FROM t), df AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS n FROM u GROUP BY term), c AS (SELECT count(*) AS n FROM t) SELECT term, df.df, df.n, round(ln(c.n - df.df + 0.5) - ln(df.df + 0.5), 6) AS raw_idf FROM df, c")
 def bm25_stats(spark, sf_dir):
     d = texts(spark, sf_dir).documents
-    tf, _ = retrieve.bm25_terms(d)
     n = d.count()
-    out = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+    out = retrieve.bm25_vocabulary(d)
     return out.withColumn("raw_idf", F.round(F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5), 6))
 
 
