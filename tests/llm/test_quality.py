@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from conftest_odd import ODD
 
+from quern.llm.labelled import labelled_rows
 from quern.llm.quality import FEATURES, BradleyTerry, features, op5_bradley_terry, score_quality, train_quality
 
 
@@ -47,3 +48,10 @@ def test_odd_rows(spark, docs_of):
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     assert {r.score for r in score_quality(docs, train_quality(docs, labels.limit(0))).collect()} == {0.5}
     assert score_quality(docs.limit(0), train_quality(docs.limit(0), labels)).count() == 0
+
+
+def test_one_row_is_collected_for_a_repeated_id(spark, docs_of):
+    docs = docs_of([(1, "b"), (1, "a"), *[(2, "same")] * 50, (3, None), (4, "other")])
+    ids = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id bigint, label int")
+    got = [(r.doc_id, r.text, r.label) for r in labelled_rows(docs.select("doc_id", "text"), ids)]
+    assert got == [(1, "a", 1), (2, "same", 0), (3, None, 0)]
