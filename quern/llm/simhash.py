@@ -9,6 +9,7 @@ Gray order; pairs of chunks are pruned by the same shared patterns before any ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,32 +19,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.candidates import Comparison, bucket_components
 from quern.llm.common import cut, in_batches, prefilter, table, without_ids
 from quern.llm.components import connected_components
 
 GROUP_ROWS = 4096
 LEAF = 32
 FAN = 8
+SKETCH = 32
+SHARED = 12
 
 
-def fingerprint_bytes(text: str | None, width: int) -> bytes:
-    """Eight bytes, big-endian. A bit is set if it is in over half of the hashes of the word shingles."""
+def shingle_digests(text: str | None, width: int) -> np.ndarray:
+    """(n, 8) bytes, big-endian: the hashes of the word shingles, repeats included; of fewer words that of the whole sequence."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8)
+        return np.zeros((0, 8), np.uint8)
     line = b" ".join(words)
+    digest = xxhash.xxh64_digest
     if len(words) <= width:
-        return xxhash.xxh64_digest(line, 42)
+        return np.frombuffer(digest(line, 42), np.uint8).reshape(1, 8)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - width + 1].tolist()
-    digest, step = xxhash.xxh64_digest, 65536
-    ends = ends[width - 1 :].tolist()
+    raw = b"".join([digest(line[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist())])
+    return np.frombuffer(raw, np.uint8).reshape(-1, 8)
+
+
+def fingerprint_of(digests: np.ndarray, step: int = 65536) -> bytes:
+    """Eight bytes, big-endian. A bit is set if it is in over half of the hashes; none is without any."""
     count = np.zeros(64, np.int64)
-    for i in range(0, len(starts), step):
-        raw = b"".join([digest(line[s:e], 42) for s, e in zip(starts[i : i + step], ends[i : i + step])])
-        count += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(count * 2 > len(starts)).tobytes()
+    for i in range(0, len(digests), step):
+        count += np.unpackbits(digests[i : i + step], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(count * 2 > len(digests)).tobytes()
+
+
+def distinct_hashes(digests: np.ndarray) -> np.ndarray:
+    """The distinct hashes as bigints, ascending."""
+    return np.unique(digests.view(">i8").ravel().astype(np.int64))
+
+
+def fingerprint_bytes(text: str | None, width: int) -> bytes:
+    """Eight bytes, big-endian. A bit is set if it is in over half of the hashes of the word shingles."""
+    return fingerprint_of(shingle_digests(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -271,56 +289,130 @@ def word_shingles(text: str | None, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def near_copies(docs: DataFrame, width: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+def body_hash(text: str | None) -> int:
+    """Equal for texts of equal words."""
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), 11) - (1 << 63)
+
+
+class TextComparison(Comparison):
+    """Jaccard similarity of the word shingles of `texts` (id, fp, size, least, text); with a `radius` the fingerprints have
+    to be within it, too.
+
+    `least` are the `SKETCH` least hashes of a text's `size` shingles. Pairs that share fewer than `SHARED` of them are
+    dropped before: at a similarity of 0.8 that is one pair in more than ten million.
+    """
+
+    def __init__(self, texts: DataFrame, width: int, radius: int | None, similarity: float):
+        self.texts, self.width, self.radius, self.similarity = texts, width, radius, similarity
+
+    def sketched(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.texts.select("id", F.struct("fp", "size", "least").alias("sketch")), "id")
+
+    def possible(self, x: Column, y: Column) -> Column:
+        t = self.similarity
+        near = F.lit(True) if self.radius is None else F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= self.radius
+        sizes = F.least(x["size"], y["size"]) >= t * F.greatest(x["size"], y["size"]) - 1e-9
+        if t < 0.8:
+            return near & sizes
+        return near & sizes & ((F.least(x["size"], y["size"]) < SKETCH) | (F.size(F.array_intersect(x["least"], y["least"])) >= SHARED))
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        width, similarity = self.width, self.similarity
+
+        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = []
+                for x, y in zip(b.column(2), b.column(3)):
+                    s, t = word_shingles(x.as_py(), width), word_shingles(y.as_py(), width)
+                    both = len(s & t)
+                    keep.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
+
+        x, y = [self.texts.select(F.col("id").alias(k), F.col("text").alias(n)) for k, n in (("u", "x"), ("v", "y"))]
+        return in_batches(pairs.select("u", "v").join(x, "u").join(y, "v").select("u", "v", "x", "y")).mapInArrow(alike, "u bigint, v bigint")
+
+    def finer(self, rows: DataFrame) -> DataFrame:
+        """(key, id) for the rows of hot buckets: the first shingles of each text in an order that has the rarest of the bucket first."""
+        width, t = self.width, self.similarity
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = pa.array([distinct_hashes(shingle_digests(x.as_py(), width)) for x in b.column(2)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], names=["key", "id", "tokens"])
+
+        held = in_batches(rows.select("key", "id").join(self.texts.select("id", "text"), "id").select("key", "id", "text"))
+        held = cut(held.mapInArrow(tokens, "key bigint, id bigint, tokens array<bigint>").select("key", "id", F.explode("tokens").alias("token")))
+        counted = held.join(held.groupBy("key", "token").count(), ["key", "token"])
+        order = counted.groupBy("key", "id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("s"))
+        first = F.slice("s", 1, F.size("s") - F.ceil(t * F.size("s") - 1e-9).cast("int") + 1)
+        return order.select("key", "id", F.explode(first).alias("t")).filter("t.count > 1").select(F.xxhash64("key", "t.token").alias("key"), "id")
+
+
+def near_copies(docs: DataFrame, width: int = 5, radius: int = 7, similarity: float = 0.8, every: bool = False) -> DataFrame:
     """(doc_id, component_id) for the rows of `docs` with a doc_id: components of texts of equal words, and of texts
-    whose fingerprints are within `radius` bits and whose word shingles have a Jaccard similarity of `similarity`.
+    whose word shingles have a Jaccard similarity of `similarity` and whose fingerprints are within `radius` bits or,
+    with `every`, differ in however many.
 
-    Of what the fingerprints link those pairs are compared that connect it, fewer than there are texts; a pair that
-    fails is not replaced by another. Null and wordless texts are equal.
+    First the pairs are compared that span what fingerprints within `radius` link. Then texts of different components that
+    share one of their first shingles by hash, as all pairs of that similarity do, so that no link is left out. Null and
+    wordless texts are equal.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            fp = np.frombuffer(b"".join(fingerprint_bytes(t, width) for t in texts), ">i8").astype(np.int64)
-            body = [b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
-            hashes = pa.array([xxhash.xxh64_intdigest(t, 11) - (1 << 63) for t in body], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), hashes], names=["doc_id", "fp", "body"])
-
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    prints = cut(in_batches(rows).mapInArrow(run, "doc_id bigint, fp bigint, body bigint").filter("doc_id is not null"))
-    bodies = cut(prints.groupBy("body").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first")))
-    firsts = bodies.groupBy("fp").agg(F.min("first").alias("lead"))
+            fps, ids, sizes, least, first = [], [], [], [], []
+            for text in b.column(1).to_pylist():
+                digests = shingle_digests(text, width)
+                own = distinct_hashes(digests)
+                fps.append(fingerprint_of(digests))
+                ids.append(body_hash(text))
+                sizes.append(len(own))
+                least.append(own[:SKETCH])
+                first.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (least, first)]
+            fp = pa.array(np.frombuffer(b"".join(fps), ">i8").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), fp, pa.array(sizes, pa.int32()), *lists], names=["doc_id", "id", "fp", "size", "least", "first"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null")
+    prints = cut(in_batches(rows).mapInArrow(run, "doc_id bigint, id bigint, fp bigint, size int, least array<bigint>, first array<bigint>"))
+    bodies = cut(prints.groupBy("id").agg(F.min("doc_id").alias("lead"), F.min("fp").alias("fp")))
+    sole = prints.join(bodies.select("id", F.col("lead").alias("doc_id")), ["id", "doc_id"], "left_semi")
+    keys = sole.dropDuplicates(["id"]).select(F.explode("first").alias("key"), "id")
+    leads = bodies.groupBy("fp").agg(F.min("id").alias("a"))
     edges = near_pairs(bodies, radius)
-    across = edges.join(firsts.select(F.col("fp").alias("u"), F.col("lead").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("lead").alias("b")), "v")
-    within = bodies.join(firsts, "fp").filter("first <> lead").select(F.col("lead").alias("a"), F.col("first").alias("b"))
-    pairs = cut(across.select("a", "b").unionByName(within).distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(prefilter(rows.filter("doc_id is not null"), "doc_id", ends).join(ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    across = edges.join(leads.withColumnRenamed("fp", "u"), "u").join(leads.select(F.col("fp").alias("v"), F.col("a").alias("b")), "v").select("a", "b")
+    within = bodies.join(leads, "fp").filter("id <> a").select("a", F.col("id").alias("b"))
+    tree = cut(across.unionByName(within).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                s, t = word_shingles(x.as_py(), width), word_shingles(y.as_py(), width)
-                both = len(s & t)
-                keep.append(both >= similarity * (len(s) + len(t) - both) - 1e-9)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
+    def comparison(ids: DataFrame) -> TextComparison:
+        wanted = cut(bodies.join(ids.distinct(), "id", "left_semi").select("id", F.col("lead").alias("doc_id")))
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows repeated under one doc_id may hold other texts than the one of the id."""
+            for b in batches:
+                yield b.filter(pa.array([i == body_hash(t.as_py()) for i, t in zip(b.column(0).to_pylist(), b.column(1))], pa.bool_()))
+
+        texts = prefilter(rows, "doc_id", wanted).join(wanted, "doc_id").select("id", "text")
+        texts = in_batches(texts).mapInArrow(named, "id bigint, text string").dropDuplicates(["id"])
+        known = prefilter(prints, "id", wanted).join(wanted, ["id", "doc_id"], "left_semi").select("id", "fp", "size", "least").dropDuplicates(["id"])
+        return TextComparison(cut(known.join(texts, "id")), width, None if every else radius, similarity)
 
-    sides = [texts.select(F.col("doc_id").alias(k), F.col("text").alias(n)) for k, n in (("a", "x"), ("b", "y"))]
-    links = in_batches(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")).mapInArrow(alike, "u bigint, v bigint")
-    roots = connected_components(links).withColumnRenamed("node", "first")
-    return prints.join(bodies.select("body", "first"), "body").join(roots, "first", "left").select("doc_id", F.coalesce("root", "first").alias("component_id"))
+    links = cut(comparison(tree.select(F.explode(F.array("u", "v")).alias("id"))).verify(tree))
+    roots, _ = bucket_components(keys, comparison, known=links)
+    named = prints.select("doc_id", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = cut(named)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "component_id")
 
 
-def keep_first_of_near_copies(docs: DataFrame, width: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+def keep_first_of_near_copies(docs: DataFrame, width: int = 5, radius: int = 7, similarity: float = 0.8, every: bool = False) -> DataFrame:
     """The rows of `docs` but those that `near_copies` puts with one of a smaller doc_id.
 
     Of rows repeated under one doc_id one stays, and of null and wordless texts the first; rows with a null doc_id stay; an
     empty table gives an empty result.
     """
-    found = cut(near_copies(docs, width, radius, similarity))
+    found = cut(near_copies(docs, width, radius, similarity, every))
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     left = without_ids(docs, gone)
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter(F.col("count") > 1)

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from conftest_odd import ODD
 
+import corpus_pipeline
 from quern.llm.components import connected_components
 from quern.llm.simhash import (
     GrayIndex, _forest, _tree, fingerprint_bytes, index_pairs, keep_first_of_near_copies, near_copies, near_pairs, op9_simhash_gray, pigeonhole_masks, simhash_components, word_shingles,
@@ -145,3 +146,31 @@ def test_a_tree_of_links_spans_them():
         x, y = x[x != y], y[x != y]
         a, b = _tree(n, x, y)
         assert (_forest(n, a, b) == _forest(n, x, y)).all() and len(a) == n - len(set(_forest(n, x, y))) and {*zip(a, b)} <= {*zip(x, y)}
+
+
+def test_no_pair_of_near_copies_is_left_out(spark, docs_of):
+    """However far the fingerprints are, and whichever pair of a tree of links fails."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(3, 8)))
+    texts = []
+    for n in (300, 120, 40, 12, 4) * 6:
+        base = [word() for _ in range(n)]
+        texts.append(base)
+        for edits in (1, 2, 4, 6, 8):
+            copy = list(texts[-1])
+            for i in rng.sample(range(n), min(edits, 1 + n // 50)):
+                copy[i] = word()
+            texts.append(copy)
+    lines = [" ".join(t) for t in texts]
+    sets = [word_shingles(t, 5) for t in lines]
+    prints = [int.from_bytes(fingerprint_bytes(t, 5), "big") for t in lines]
+    alike = np.array([(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9])
+    bits = np.array([(prints[i] ^ prints[j]).bit_count() for i, j in alike])
+    assert (bits > 7).sum() > 20 and (bits <= 7).sum() > 20
+    for every, own in ((True, alike), (False, alike[bits <= 7])):
+        got = {r.doc_id: r.component_id for r in near_copies(docs_of(lines), every=every).collect()}
+        assert [got[i] for i in range(len(lines))] == _forest(len(lines), own[:, 0], own[:, 1]).tolist()
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs_of(lines), "").collect()}
+    assert kept == set(_forest(len(lines), alike[:, 0], alike[:, 1]).tolist())
+    got = near_copies(docs_of([(1, lines[0]), (1, lines[6]), (2, lines[6]), (3, lines[0]), (None, lines[0])]), every=True).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1)}
