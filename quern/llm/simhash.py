@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.candidates import Comparison, bucket_components
-from quern.llm.common import cut, in_batches, prefilter, table, without_ids
+from quern.llm.common import cut, in_batches, prefilter, sized_broadcast, table, without_ids
 from quern.llm.components import connected_components
 
 GROUP_ROWS = 4096
@@ -376,9 +376,14 @@ def near_copies(docs: DataFrame, width: int = 5, radius: int = 7, similarity: fl
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id is not null")
     prints = cut(in_batches(rows).mapInArrow(run, "doc_id bigint, id bigint, fp bigint, size int, least array<bigint>, first array<bigint>"))
-    bodies = cut(prints.groupBy("id").agg(F.min("doc_id").alias("lead"), F.min("fp").alias("fp")))
-    sole = prints.join(bodies.select("id", F.col("lead").alias("doc_id")), ["id", "doc_id"], "left_semi")
-    keys = sole.dropDuplicates(["id"]).select(F.explode("first").alias("key"), "id")
+    bodies = cut(prints.groupBy("id").agg(F.min("doc_id").alias("lead"), F.min("fp").alias("fp"), F.count("fp").alias("n")))
+    again = cut(bodies.filter("n > 1").select("id"))
+    again = sized_broadcast(again, again.count())
+    sole = prints.join(again, "id", "left_anti").unionByName(prints.join(again, "id", "left_semi").dropDuplicates(["id"]))
+    keys = sole.select(F.explode("first").alias("key"), "id").withColumn("part", F.shiftrightunsigned("key", 32))
+    # most shingles are in one text: half of each tells which are not, before whole rows move
+    met = cut(keys.groupBy("part").count().filter("count > 1").select("part"))
+    keys = cut(prefilter(keys, "part", met).join(met, "part", "left_semi").select("key", "id"))
     leads = bodies.groupBy("fp").agg(F.min("id").alias("a"))
     edges = near_pairs(bodies, radius)
     across = edges.join(leads.withColumnRenamed("fp", "u"), "u").join(leads.select(F.col("fp").alias("v"), F.col("a").alias("b")), "v").select("a", "b")
