@@ -11,6 +11,7 @@ from quern.functions import scalar as S
 from quern.functions import text as X
 from quern.operators import batching, chat, clean, metrics, ranking, rerank, retrieve
 from quern.schemas import Dataset, dense_ordinal
+from quern.sources import shapes
 
 RESULTS = "query_id string, document_id string, rank int, score double, human double"
 QRELS = "query_id string, document_id string, score double, ord bigint"
@@ -211,6 +212,22 @@ def test_numbering(spark):
     assert [r.id for r in ranking.last_by(df.withColumnRenamed("ord", "id").withColumn("ord", F.col("id")), "qid").orderBy("id").collect()] == [1, 2]
 
 
+def test_numbering_of_more_rows_than_a_sample_holds(spark):
+    rows = spark.range(60_000).select((F.col("id") * 3).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("wide")).repartition(7)
+    got = dense_ordinal(rows, "v").select("v", "ord", "wide").collect()
+    assert len(got) == 60_000 and all(r.v == 3 * r.ord for r in got)
+    few = spark.createDataFrame([(None, 1), (5, 2), (5, 1), (2, 9)], "k int, i int")
+    assert [(r.k, r.i) for r in dense_ordinal(few, "k", "i").orderBy("ord").collect()] == [(None, 1), (2, 9), (5, 1), (5, 2)]
+    assert dense_ordinal(few.limit(0), "k").count() == 0
+
+
+def test_numbered_arrays_of_many_rows(spark):
+    raw = spark.range(30_000).select(F.col("id").alias("ord"), F.array(F.col("id").cast("string"), F.lit("x")).alias("t"))
+    d = shapes.array_rows(raw, "ord", "t")
+    both = d.qrels.join(d.documents.select(F.col("id").alias("document_id"), "content"), "document_id").collect()
+    assert len(both) == 60_000 and all(int(r.document_id) == 2 * int(r.query_id) + (r.content == "x") for r in both)
+
+
 def candidates(spark):
     rows = [("q", "a", 1, 1.0, "find me", "you find me"), ("q", "b", 2, None, "find me", "nothing"), ("p", "a", 1, None, "other", "you find me")]
     return spark.createDataFrame(rows, "query_id string, document_id string, rank int, human double, query string, content string")
