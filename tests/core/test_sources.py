@@ -93,6 +93,21 @@ def test_maps_one_level_too_deep_or_not(spark):
     assert rows(r, "key", "inner", "value") == [("q1", "d1", 1.0), ("q1", "d2", 0.5), ("q2", "d3", 2.0)]
 
 
+def test_odd_maps_of_judgments(spark):
+    texts = [
+        '{"a": {"x": 1, "y": "2.5"}, "b": {"x": null, "z": 3}}', '{"s": {"c": {"x": {"z": 7, "score": 4}, "y": {"k": "t", "b": 9, "a": 8}}}}', '{"d": "{\\"x\\": 6}"}', '{"e": {"x": null}}', '{"f": {}, "g": null, "h": 3, "i": [1]}',
+        '{"j": {"x": {"q": 1}, "y": 2}}', '{"k": {"x": [1, 2], "y": true, "w": 1e2, "v": "word"}}', '{"s": {"l": {"x": 1}}, "m": {"y": 2}}', "no json", '{"n": {"x": 1}', None, "{}", '{"o": {"p": {"x": 13.0, "y": 12345678901234567890123}, "q": {}}}',
+    ]
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)] + [("s", 99, '{"a": {"x": 5}}'), ("t", 0, '{"a": {"x": 6}}')], "split string, ord bigint, data string")
+    got = shapes.maps_by_split(df, "qrels")
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.split, r.key, r.inner): r.value for r in got.collect()} == {
+        ("s", "a", "x"): 5.0, ("t", "a", "x"): 6.0, ("s", "a", "y"): 2.5, ("s", "b", "x"): 1.0, ("s", "b", "z"): 3.0, ("s", "c", "x"): 4.0, ("s", "c", "y"): 9.0, ("s", "d", "x"): 6.0,
+        ("s", "j", "x"): 1.0, ("s", "j", "y"): 2.0, ("s", "k", "x"): 1.0, ("s", "k", "y"): 1.0, ("s", "k", "w"): 100.0, ("s", "k", "v"): 1.0, ("s", "l", "x"): 1.0, ("s", "m", "y"): 2.0,
+        ("s", "p", "x"): 13.0, ("s", "p", "y"): 12345678901234567890123.0,
+    }
+
+
 def test_zipped_corpora_and_tsv(spark, tmp_path):
     lines = [{"_id": "a", "text": "x", "title": "T"}, {"document_id": "b", "text": "y", "title": "", "metadata": {"k": "v"}}]
     with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
