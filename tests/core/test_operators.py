@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -212,6 +213,34 @@ def test_numbering(spark):
     assert [r.id for r in ranking.last_by(df.withColumnRenamed("ord", "id").withColumn("ord", F.col("id")), "qid").orderBy("id").collect()] == [1, 2]
 
 
+def test_words_of_odd_texts(spark):
+    texts = [None, "", " ", "\u2003A\u00a0b\x1cC\n\n d\u3000", "x", "\x85x\x85", "É\tß\u200bz", "a\x00b c"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.words("t").alias("w")).orderBy("i").collect()
+    assert [r.w for r in got] == [[w.lower() for w in (t or "").split()] for t in texts]
+
+
+def test_bm25_moves_words_of_queries_and_no_pairs(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(rng.randint(0, 9))) for _ in range(300)]
+    asked = ["a b cc", "dd dd", "nothing", "jj a"]
+    docs = spark.createDataFrame([(f"d{i}", t, None, i) for i, t in enumerate(texts)], DOCUMENTS)
+    queries = spark.createDataFrame([(f"q{i}", t, None, i) for i, t in enumerate(asked)], QUERIES)
+    found = retrieve.bm25_topk(queries, docs, 7)
+    plan = retrieve.bm25_topk(queries.filter("id in ('q0', 'q3')"), docs, 2)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((query_id#\d+, ord#\d+L?|ord#\d+L?, term#\d+),", plan)
+    words = [t.split() for t in texts]
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    df = {t: sum(t in w for w in words) for t in {t for w in words for t in w}}
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    idf = {t: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, v in raw.items()}
+    for i, t in enumerate(asked):
+        score = [sum(idf.get(x, 0) * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for x in t.split()) for w in words]
+        want = sorted(range(n), key=lambda j: (-round(score[j], 9), j))[:7]
+        got = found.filter(F.col("query_id") == f"q{i}").orderBy("rank").collect()
+        assert [r.document_id for r in got] == [f"d{j}" for j in want]
+        assert np.allclose([r.score for r in got], [score[j] for j in want])
+
+
 def test_numbering_of_more_rows_than_a_sample_holds(spark):
     rows = spark.range(60_000).select((F.col("id") * 3).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("wide")).repartition(7)
     got = dense_ordinal(rows, "v").select("v", "ord", "wide").collect()
