@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import map_with, text_hash
-from quern.functions.text import MAX_TOKENS, even_chunks, is_blank, titled
+from quern.functions.text import MAX_TOKENS, chunk_count, even_chunks, is_blank, titled
 from quern.schemas import Dataset
 
 
@@ -90,13 +90,17 @@ def chunk_documents(documents: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
     )
 
 
-def chunk_long_texts(data: Dataset, most: int = MAX_TOKENS) -> Dataset:
-    """Long queries become their first even chunk; long documents their chunks, each with the document's judgments."""
+def chunk_long_texts(data: Dataset, most: int = MAX_TOKENS, whole: DataFrame | None = None) -> Dataset:
+    """Long queries become their first even chunk; long documents their chunks, each with the document's judgments.
+
+    Chunks of judgments are counted, not cut, on `whole`, a table that holds the documents under the same ids, where one is
+    given: behind a join that made the documents, their texts would have to move to be counted.
+    """
     queries = data.queries.withColumn("query", F.get(even_chunks("query", most), 0))
-    chunks = chunk_documents(data.documents, most)
-    split = chunks.filter("id <> parent_id").select(F.col("parent_id").alias("document_id"), F.col("id").alias("_chunk"))
+    long = (data.documents if whole is None else whole).select(F.col("id").alias("document_id"), chunk_count("content", most).alias("_n")).filter("_n > 1")
+    split = long.select("document_id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i")).select("document_id", F.concat("document_id", F.lit("-chunk-"), F.col("_i").cast("string")).alias("_chunk"))
     qrels = data.qrels.join(split, "document_id", "left").withColumn("document_id", F.coalesce("_chunk", "document_id")).drop("_chunk")
-    return Dataset(queries, chunks.drop("parent_id", "chunk"), qrels)
+    return Dataset(queries, chunk_documents(data.documents, most).drop("parent_id", "chunk"), qrels)
 
 
 def limit_queries(data: Dataset, limit: int | None, seed: int = 0) -> Dataset:
@@ -113,8 +117,16 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def clean_dataset(data: Dataset, most: int = MAX_TOKENS, check: bool = True) -> Dataset:
-    """Validate, drop blank queries, merge duplicates, drop queries without a positive judgment, cut long texts."""
-    out = chunk_long_texts(remove_nonpositive_queries(remove_duplicates(remove_empty_queries(validate(data, check)))), most)
+    """Validate, drop blank queries, merge duplicates, drop queries without a positive judgment, cut long texts.
+
+    The judgments, as they come and merged, are persisted until the session's cache is cleared: the checks and the steps ask
+    for them a dozen times, and a source may have had to search its texts for them.
+    """
+    data = data.with_(qrels=data.qrels.persist())
+    merged = remove_duplicates(remove_empty_queries(validate(data, check)))
+    merged = merged.with_(qrels=merged.qrels.persist())
+    # checked ids are unique, so a kept document is the one of its id
+    out = chunk_long_texts(remove_nonpositive_queries(merged), most, data.documents if check else None)
     if check and (out.queries.isEmpty() or out.qrels.isEmpty()):
         raise ValueError("nothing is left of the dataset")
     return out

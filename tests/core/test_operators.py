@@ -199,6 +199,26 @@ def test_cleaning(spark):
         clean.clean_dataset(bad.with_(qrels=bad.qrels.limit(0)))
 
 
+def test_cleaning_asks_for_the_judgments_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    data = dirty(spark)
+    n = data.qrels.count()
+    out = clean.clean_dataset(data.with_(qrels=data.qrels.withColumn("score", counted("score"))))
+    want = clean.clean_dataset(data)
+    assert ranking.same_rows(out.qrels, want.qrels) and ranking.same_rows(out.queries.select("id", "query"), want.queries.select("id", "query"))
+    assert 0 < read.value <= n
+    long = spark.createDataFrame([("d", "x" * 9000, None, 0), ("e", "é" * 3000, None, 1), ("f", None, None, 2), ("g", "y", None, 3)], DOCUMENTS)
+    qrels = spark.createDataFrame([("q", d, 1.0, i) for i, d in enumerate("defg")], QRELS)
+    cut = clean.chunk_long_texts(data.with_(documents=long, qrels=qrels))
+    assert {r.document_id for r in cut.qrels.collect()} == {r.id for r in cut.documents.collect()} == {"d-chunk-0", "d-chunk-1", "d-chunk-2", "e", "f", "g"}
+
+
 def test_sampling_is_seeded(spark):
     data = dirty(spark)
     a, b = (sorted(r.id for r in clean.limit_queries(data, 3, s).queries.collect()) for s in (1, 1))
