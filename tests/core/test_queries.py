@@ -53,3 +53,16 @@ def test_byte_pack_against_the_plain_fold(spark):
             out.append(part)
             left -= len(part.encode())
         assert (r.texts, r.bytes) == (len(out), sum(len(p.encode()) for p in out))
+
+
+def test_results_of_a_large_table_are_cut_by_its_size(spark, monkeypatch):
+    from quern.operators.ranking import same_rows
+    from quern.plans import views
+
+    small = views.order_results(spark, FOLDER)
+    assert "REPARTITION_BY_NUM" not in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(views, "SORTED_BYTES", 10_000)
+    cut = views.order_results(spark, FOLDER)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1 and cut.rdd.getNumPartitions() >= 11
+    assert same_rows(small, cut)
