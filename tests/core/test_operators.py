@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +235,28 @@ def test_numbering(spark):
     assert [r.id for r in ranking.last_by(df.withColumnRenamed("ord", "id").withColumn("ord", F.col("id")), "qid").orderBy("id").collect()] == [1, 2]
 
 
+def test_dense_search_holds_few_scores():
+    rng = np.random.default_rng(3)
+    q, d = rng.integers(-3, 4, (20_000, 4)).astype(float), rng.integers(-3, 4, (700, 4)).astype(float)
+    ids = np.array([str(i) for i in range(len(q))], object)
+    place = rng.permutation(len(d))
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(s, s + 100)]), pa.array(place[s : s + 100]), pa.array(d[s : s + 100].tolist())], names=["document_id", "ord", "vector"]) for s in range(0, 700, 100)]
+    tracemalloc.start()
+    got, rows = {}, []
+    for b in retrieve.best_of(ids, q, 10)(iter(batches)):
+        rows.append(b.num_rows)
+        for i, x in zip(b.column(0).to_pylist()[:200], b.column(1).to_pylist()[:200]):
+            got.setdefault(i, []).append(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) == 200_000 and max(rows) <= 50_000 and peak < 130_000_000
+    for i, found in got.items():
+        score = d @ q[int(i)]
+        assert found == [f"d{j}" for j in sorted(range(len(d)), key=lambda j: (-score[j], place[j]))[:10]]
+    few = retrieve.best_of(ids[:2], q[:2], 300)(iter(batches[:1]))
+    assert sum(b.num_rows for b in few) == 200 and not any(b.num_rows for b in retrieve.best_of(ids[:2], q[:2], 5)(iter([])))
+
+
 def test_words_of_odd_texts(spark):
     texts = [None, "", " ", "\u2003A\u00a0b\x1cC\n\n d\u3000", "x", "\x85x\x85", "É\tß\u200bz", "a\x00b c"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.words("t").alias("w")).orderBy("i").collect()
