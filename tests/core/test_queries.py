@@ -66,3 +66,13 @@ def test_results_of_a_large_table_are_cut_by_its_size(spark, monkeypatch):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1 and cut.rdd.getNumPartitions() >= 11
     assert same_rows(small, cut)
+
+
+def test_model_text_of_blank_texts_against_duckdb(spark, tmp_path):
+    texts = [None, "", " ", "\t\n", "   ", "plain text", "éighty days", "\U0001f468‍\U0001f469‍\U0001f467 family", "short"]
+    rows = spark.createDataFrame([(3 * i + j, t) for i, t in enumerate(texts) for j in (0, 1, 2)], "doc_id bigint, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((tuple(r) for r in catalogue.QUERIES["model_text"](spark, str(tmp_path)).select("doc_id", "reply", "sent").collect()), key=repr)
+    assert got == sorted(con.execute(f"select doc_id, reply, sent from ({catalogue.SQL['model_text']})").fetchall(), key=repr)
